@@ -1,11 +1,15 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, license_scan, packing, toxicity, url_filter
+from . import exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, nbest, packing, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_sentencepiece_n_best": nbest.op3_sentencepiece_n_best,
+    "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
+    "op6_prefix_fingerprints": fingerprints.op6_prefix_fingerprints,
     "op7_toxicity_cnn": toxicity.op7_toxicity_cnn,
+    "op8_html_crf": html_extract.op8_html_crf,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_license_scan": license_scan.op10_license_scan,
 }
