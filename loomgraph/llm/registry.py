@@ -1,11 +1,12 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, nbest, packing, toxicity, url_filter
+from . import exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, nbest, packing, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_sentencepiece_n_best": nbest.op3_sentencepiece_n_best,
+    "op4_suffix_array_dedup": substring_dedup.op4_suffix_array_dedup,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op6_prefix_fingerprints": fingerprints.op6_prefix_fingerprints,
     "op7_toxicity_cnn": toxicity.op7_toxicity_cnn,
