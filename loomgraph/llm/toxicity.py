@@ -93,8 +93,8 @@ class Model:
             r = np.zeros((len(x), FILTERS), np.float32)
             for k in range(w):
                 r[: len(x) - k] += x[k:] @ kernel[k * DIM : (k + 1) * DIM]
-            m = np.maximum.reduceat(r, begin, axis=0)
-            best.append(m)
+            # windows that begin in the document or right behind it, so that an empty one has a window too
+            best.append(np.maximum.reduceat(r, np.stack([begin, begin + size + 1], axis=1).reshape(-1), axis=0)[::2])
             where.append(r)
         return np.concatenate(best, axis=1), where, begin
 
@@ -141,7 +141,7 @@ def _fit(texts: list[str], labels: np.ndarray) -> Model:
             z = hidden @ m.out + m.shift
             dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) * weight[pick] / len(pick)).astype(np.float32)
             dh = dz[:, None] * m.out * (hidden > 0)
-            ends = np.append(begin[1:], len(responses[0]))
+            ends = begin + np.diff(off) + 1
             rows_all, grads_all = [], []
             for wi, w in enumerate(WIDTHS):
                 cols = slice(wi * FILTERS, (wi + 1) * FILTERS)

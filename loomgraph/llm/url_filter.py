@@ -8,8 +8,8 @@ Each gram's log-ratio is worked out once and joined to the characters of the dis
 that many pages share is scored once.
 
 score = (log p_accepted - log p_rejected) / (characters + 1). Calibration: the strings of labelled URLs, weighted so that
-both classes count alike, in CELLS bins of the score; the threshold is the bin edge with the fewest weighted errors
-(ties: nearest to 0). Below it the verdict is block.
+both classes count alike, in CELLS bins of the score; the threshold is the middle between two bins that has the fewest
+weighted errors (ties: nearest to 0). Below it the verdict is block.
 
 Cases: null url or no `://`: host and path empty, score 0. No labelled URL of one class: the ratio is 0 everywhere and
 the threshold 0, so unruled URLs are allowed. A rule's host fits itself and its subdomains; longest rule (host, then
@@ -91,18 +91,18 @@ def score_strings(strings: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row (threshold): the edge of the score bins with the fewest errors, both classes weighing alike."""
+    """One row (threshold): between two score bins, where the fewest errors are, both classes weighing alike."""
     half = CELLS // 2
     cell = F.greatest(F.lit(-half), F.least(F.lit(half), F.floor(F.col("score") / WIDTH).cast("int")))
     bins = scored.where("accepted + rejected > 0").groupBy(cell.alias("cell")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))
-    up_to = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS rows
-    all_rows = Window.partitionBy()
-    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(up_to), F.lit(0)), F.sum(c).over(all_rows))
-    errors = share("a") + 1 - share("r")
+    by_cell, all_rows = Window.orderBy("cell"), Window.partitionBy()  # at most CELLS rows
+    up_to = by_cell.rowsBetween(Window.unboundedPreceding, -1)
     both = (F.sum("a").over(all_rows) > 0) & (F.sum("r").over(all_rows) > 0)
-    edges = bins.select("cell", F.when(both, errors).alias("errors"))
-    best = edges.where("errors is not null").agg(F.min(F.struct("errors", F.abs("cell").alias("far"), "cell")).alias("best"))
-    return best.select(F.coalesce(F.col("best.cell") * F.lit(WIDTH), F.lit(0.0)).alias("threshold"))
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(up_to), F.lit(0)), F.sum(c).over(all_rows))
+    middle = F.coalesce((F.lag("cell").over(by_cell) + 1 + F.col("cell")) / F.lit(2.0), F.col("cell").cast("double"))
+    edges = bins.select(middle.alias("edge"), F.when(both, share("a") + 1 - share("r")).alias("errors"))
+    best = edges.where("errors is not null").agg(F.min(F.struct("errors", F.abs("edge").alias("far"), "edge")).alias("best"))
+    return best.select(F.coalesce(F.col("best.edge") * F.lit(WIDTH), F.lit(0.0)).alias("threshold"))
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
