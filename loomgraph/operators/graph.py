@@ -49,10 +49,10 @@ def clean_edges(edges: DataFrame, attributes: DataFrame) -> DataFrame:
 def mutual_pairs(edges: DataFrame) -> DataFrame:
     """paper_a, paper_b (a < b by number): pairs that list each other. Repeats change nothing.
 
-    Only targets that are sources can be in a pair. One grouping by the unordered pair, which begins map-side.
+    One grouping by the unordered pair, which begins map-side, and no other shuffle: that both directions are seen implies
+    that both papers are sources, so targets needn't be held against the sources first.
     """
-    both = edge_list(edges).where("src != dst").join(sources(edges).withColumnRenamed("id", "dst"), "dst", "left_semi")
-    seen = both.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+    seen = edge_list(edges).where("src != dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
         F.bool_or(F.col("src") < F.col("dst")).alias("up"), F.bool_or(F.col("src") > F.col("dst")).alias("down")
     )
     return seen.where("up and down").select(work_id("a").alias("paper_a"), work_id("b").alias("paper_b"))
