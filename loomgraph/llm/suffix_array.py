@@ -1,94 +1,136 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy."""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Names up to which the reduced text is sorted by inducing too; with more of them, buckets are too small to go one by one.
+KINDS = 1024
 
-def _buckets(counts: list[int]) -> tuple[list[int], list[int]]:
-    heads, tails, at = [], [], 0
-    for c in counts:
-        heads.append(at)
-        at += c
-        tails.append(at)
-    return heads, tails
 
+def _types(text: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than the next one; the last one is not: what lies beyond the end is smallest."""
+    n = len(text)
+    out = np.zeros(n, bool)
+    differs = np.flatnonzero(text[:-1] != text[1:])
+    if len(differs):
+        at = np.searchsorted(differs, np.arange(n - 1))
+        inside = at < len(differs)
+        d = differs[at[inside]]
+        out[:-1][inside] = text[d] < text[d + 1]
+    return out
+
+
+def _slots(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by kind, the place of each in its kind, the kinds, and how many each has."""
+    order = np.argsort(kind, kind="stable")
+    kinds, first, count = np.unique(kind[order], return_index=True, return_counts=True)
+    return order, np.arange(len(kind)) - np.repeat(first, count), kinds, count
+
+
+def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sorts all suffixes from the order of the seeds (leftmost-smaller ones): larger ones from the left, smaller from the right.
 
-def _induce(text: list[int], small: list[bool], seeds: list[int], counts: list[int]) -> list[int]:
-    """Sorts all suffixes from the order of the seeds (leftmost-smaller ones): larger ones from the left, smaller from the right."""
+    A bucket (suffixes of one first character) is gone through in waves: what it holds sends the suffixes one longer to
+    their buckets, in order; what it sent to itself is the next wave.
+    """
     n = len(text)
-    out = [-1] * n
-    heads, tails = _buckets(counts)
-    for p in reversed(seeds):
-        c = text[p]
-        tails[c] -= 1
-        out[tails[c]] = p
-    last = text[n - 1]
-    # the suffix of one character is a larger one: what lies beyond the end is smallest
-    out[heads[last]] = n - 1
-    heads[last] += 1
-    for k in range(n):
-        p = out[k]
-        if p > 0 and not small[p - 1]:
-            c = text[p - 1]
-            out[heads[c]] = p - 1
-            heads[c] += 1
-    _, tails = _buckets(counts)
-    for k in range(n - 1, -1, -1):
-        p = out[k]
-        if p > 0 and small[p - 1]:
-            c = text[p - 1]
-            tails[c] -= 1
-            out[tails[c]] = p - 1
+    end = np.cumsum(counts)
+    start = end - counts
+    out = np.full(n, -1, np.int64)
+    order, rank, kinds, count = _slots(text[seeds])
+    seed_from = end.copy()
+    seed_from[kinds] -= count
+    out[np.repeat(seed_from[kinds], count) + rank] = seeds[order]
+    head = start.copy()
+    out[head[text[-1]]] = n - 1
+    head[text[-1]] += 1
+
+    def send(block: np.ndarray, at: np.ndarray, smaller: bool) -> None:
+        longer = block[block > 0] - 1
+        longer = longer[small[longer] == smaller]
+        if len(longer):
+            order, rank, kinds, count = _slots(text[longer])
+            base = np.repeat(at[kinds], count)
+            out[base - 1 - rank if smaller else base + rank] = longer[order]
+            at[kinds] += -count if smaller else count
+
+    used = np.flatnonzero(counts)
+    for c in used:
+        at = start[c]
+        while at < head[c]:
+            block, at = out[at : head[c]], head[c]
+            send(block, head, False)
+        send(out[seed_from[c] : end[c]], head, False)
+    tail = end.copy()
+    for c in used[::-1]:
+        at = end[c]
+        while tail[c] < at:
+            block, at = out[tail[c] : at][::-1], tail[c]
+            send(block, tail, True)
+        send(out[start[c] : head[c]][::-1], tail, True)
     return out
 
 
-def induced_sort(text: list[int], kinds: int) -> list[int]:
+def _double(names: np.ndarray) -> np.ndarray:
+    """The suffix array of names by ranks of prefixes of doubled length."""
+    n, k, rank = len(names), 1, names.astype(np.int64)
+    while True:
+        nxt = np.zeros(n, np.int64)
+        nxt[:-k] = rank[k:] + 1
+        key = rank * (n + 2) + nxt
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
+        if rank[order[-1]] == n - 1 or k >= n:
+            return order
+        k *= 2
+
+
+def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
     """The suffix array of text, whose values lie in 0..kinds - 1.
 
     A suffix is smaller (S) if it precedes the next one, else larger (L); leftmost-smaller positions are those S after L.
-    Their substrings are sorted by inducing, named, and, where names repeat, sorted by the same way on the names.
+    Their substrings are sorted by inducing, then named; where names repeat, the text of names is sorted first.
     """
+    text = np.asarray(text, np.int64)
     n = len(text)
     if n < 2:
-        return list(range(n))
-    small = [False] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1])
-    left = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    counts = [0] * kinds
-    for c in text:
-        counts[c] += 1
+        return np.arange(n)
+    small = _types(text)
+    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    counts = np.bincount(text, minlength=kinds)
     order = _induce(text, small, left, counts)
-    if not left:
+    if not len(left):
         return order
-    is_left = [False] * n
-    for i in left:
-        is_left[i] = True
-    # a leftmost-smaller substring reaches to the next leftmost-smaller position (the last one to the end)
-    end = {a: b for a, b in zip(left, left[1:], strict=False)}
-    name, names, last = -1, [0] * n, None
-    for p in order:
-        if is_left[p]:
-            stop = end.get(p, n)
-            here = text[p : stop + 1]
-            if last is None or here != last or stop == n:
-                name += 1
-            names[p] = name
-            last = here if stop < n else None
-    reduced = [names[i] for i in left]
-    if name + 1 < len(left):
-        ranked = [left[k] for k in induced_sort(reduced, name + 1)]
+    place = np.full(n, -1, np.int64)
+    place[left] = np.arange(len(left))
+    found = order[place[order] >= 0]
+    # a leftmost-smaller substring reaches to the next such position; the last one, to the end, is like no other
+    size = np.append(left[1:], n + n) - left + 1
+    a, b = found[:-1], found[1:]
+    same = (size[place[a]] == size[place[b]]) & (b != left[-1]) & (a != left[-1])
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        equal = text[a[live] + k] == text[b[live] + k]
+        same[live[~equal]] = False
+        k += 1
+        live = live[equal]
+        live = live[k < size[place[a[live]]]]
+    names = np.zeros(len(left), np.int64)
+    names[place[found]] = np.concatenate([[0], np.cumsum(~same)])
+    number = int(names.max()) + 1
+    if number == len(left):
+        ranked = np.empty(len(left), np.int64)
+        ranked[names] = left
     else:
-        ranked = [0] * len(left)
-        for i, v in zip(left, reduced, strict=True):
-            ranked[v] = i
+        ranked = left[induced_sort(names, number) if number <= KINDS else _double(names)]
     return _induce(text, small, ranked, counts)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """data: small non-negative integers."""
-    return np.array(induced_sort(data.tolist(), int(data.max()) + 1 if len(data) else 1), np.int64)
+    return induced_sort(data, int(data.max()) + 1 if len(data) else 1)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
