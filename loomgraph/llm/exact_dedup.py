@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, row_key, table
+from .shared import discard, materialize, row_key, table
 
 #: Bits of the key that the directory may use, and so 2**MAX_DEPTH cells at most: its size is bounded.
 MAX_DEPTH = 14
@@ -79,6 +79,7 @@ def index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFra
     keep_id = F.when(keep != last, keep).cast("long")
     chains = chains.select("bucket", "key", "text_sha256", keep_id.alias("keep_id"), "group_size")
     chains = materialize(chains.repartitionByRange("bucket", "key"), "bucket", "key")
+    discard(cells)
     return entries, chains
 
 

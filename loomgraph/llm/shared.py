@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +36,24 @@ def materialize(df: DataFrame, *sort: str) -> DataFrame:
     if sort:
         df = df.sortWithinPartitions(*sort)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(df.sparkSession)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote. Only for those whose every reader has run."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver's context cleaner delete shuffle files that no plan refers to any more: it acts on collected objects only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:

@@ -11,9 +11,9 @@ its context. Equal windows have equal anchors. So:
    chunks of whole anchors: a chunk's suffix array is induced (suffix_array), permuted common prefixes of SPAN or more
    with a neighbour mark the windows that occur again.
 4. An anchor with more than HOT distinct contexts (a passage that very many documents share, at its edges) is split
-   instead: by windows' place relative to the anchor in blocks of BLOCK and by the bytes common to a block's windows;
-   blocks in which all agree are settled by their count, the rest window by window, as counts of window digests that
-   begin map-side. No task gets such an anchor whole.
+   instead, by windows' place relative to the anchor in blocks and by the bytes common to a block's windows: blocks alone
+   with these bytes are done, blocks in which all agree are settled by their count, and the rest is split again into
+   smaller blocks (BLOCKS), at last windows. The counts begin map-side; no task gets such an anchor whole.
 
 Removed stretches come back as intervals by document. The texts are shuffled twice (to fetch contexts, to cut); what
 decides is slim rows. Strings are judged on the input, matches never cross documents, and overlaps count.
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batches, column_bytes, materialize, mix, prefix_hash, row_key, signed, span_hash, table
+from .shared import batches, column_bytes, discard, materialize, mix, prefix_hash, row_key, signed, span_hash, table
 from .suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 48
-HOT, BLOCK = 256, 16
+HOT, BLOCKS = 4000, (64, 16, 4, 1)
 #: Bytes of contexts that share a suffix array (an anchor's are never parted).
-CHUNK = 200_000
+CHUNK = 300_000
 RUN = "anchor long, ctx long, k1 long, k2 long, start long, windows int, lead int, again boolean"
 
 
@@ -161,54 +161,50 @@ def _shard(it):
         yield judged(held)
 
 
-def _blocks(it):
-    """A row for each block of each context: its key (anchor, place, bytes common to the block's windows) and its windows' digests."""
-    names = ["key", "same", "n", "anchor", "ctx", "first", "digests"]
+PART = "key long, same long, n long, anchor long, ctx long, again boolean, first int, place int, windows int, body binary"
+
+
+def _blocks(it, size: int):
+    """The stretches of windows (first in its context, place by the anchor) cut into blocks of places k * size .. k * size + size - 1.
+
+    key: of the anchor, the block and the bytes common to all its windows; same: of the stretch's bytes.
+    """
+    names = [c.split()[0] for c in PART.split(", ")]
     for batch in it:
         out = []
-        for anchor, ctx, n, again, lead, windows, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for anchor, ctx, n, again, first, place, windows, body in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
             raw = np.frombuffer(body, np.uint8)
-            prefix, at = prefix_hash(raw), np.arange(windows)
-            # a gram that comes again has no place to go by: each window is a block, keyed by itself
-            digest = mix(span_hash(prefix, at, at + SPAN) ^ np.uint64(anchor & (2**64 - 1)))
-            if again:
-                for k in range(windows):
-                    out.append((digest[k : k + 1].view(np.int64)[0], 0, n, anchor, ctx, k, digest[k : k + 1].tobytes()))
-                continue
-            place = at - lead
-            block = place // BLOCK
-            firsts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            lasts = np.append(firsts[1:], windows)
-            core_from, core_to = block[firsts] * BLOCK + BLOCK - 1 + lead, block[firsts] * BLOCK + SPAN + lead
-            key = mix(span_hash(prefix, core_from, core_to) ^ mix(block[firsts].astype(np.uint64)) ^ np.uint64(anchor & (2**64 - 1)))
-            same = mix(span_hash(prefix, firsts, lasts + SPAN - 1) + (lasts - firsts).astype(np.uint64))
-            for k, (a, b) in enumerate(zip(firsts, lasts, strict=True)):
-                out.append((key[k : k + 1].view(np.int64)[0], same[k : k + 1].view(np.int64)[0], n, anchor, ctx, a, digest[a:b].tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names)
-
-
-def _by_window(it):
-    for batch in it:
-        size = np.array([len(d) // 8 for d in batch.column(3).to_pylist()], np.int64)
-        rows = np.repeat(np.arange(batch.num_rows), size)
-        digest = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
-        first = batch.column(2).to_numpy()[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(first), pa.array(digest), batch.column(4).take(take)], ["anchor", "ctx", "first", "digest", "n"])
-
-
-def _split(bodies: DataFrame) -> DataFrame:
-    """Intervals of windows that occur again, for anchors with very many contexts."""
-    blocks = materialize(
-        bodies.select("anchor", "ctx", "n", "again", "lead", "windows", "body").mapInArrow(_blocks, "key long, same long, n long, anchor long, ctx long, first long, digests binary")
-    )
-    keys = blocks.groupBy("key").agg(F.sum("n").alias("total"), (F.min("same") == F.max("same")).alias("alike")).where("total > 1")
-    judged = blocks.join(keys, "key")
-    whole = judged.where("alike").select("anchor", "ctx", "first", (F.col("first") + F.expr("octet_length(digests) div 8")).alias("last"))
-    windows = judged.where("not alike").select("anchor", "ctx", "first", "digests", "n").mapInArrow(_by_window, "anchor long, ctx long, first long, digest long, n long")
-    twice = windows.groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select("digest")
-    return whole.unionByName(windows.join(twice, "digest").select("anchor", "ctx", "first", (F.col("first") + 1).alias("last")))
+            prefix = prefix_hash(raw)
+            # a gram that comes again in a run is no place to go by: its windows go alone, by their bytes
+            step = 1 if again else size
+            block = (np.arange(windows) + (0 if again else place)) // step
+            a = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            b = np.append(a[1:], windows)
+            core = a if step == 1 else block[a] * step + step - 1 - place
+            core_end = a + SPAN if step == 1 else block[a] * step + SPAN - place
+            where = mix(block[a].astype(np.uint64)) if step > 1 else np.zeros(len(a), np.uint64)
+            key = signed(mix(span_hash(prefix, core, core_end) ^ where ^ np.uint64(anchor & (2**64 - 1))))
+            same = signed(mix(span_hash(prefix, a, b + SPAN - 1) + (b - a).astype(np.uint64)))
+            for k in range(len(a)):
+                out.append((key[k], same[k], n, anchor, ctx, again, first + a[k], place + a[k], b[k] - a[k], body[a[k] : b[k] + SPAN - 1]))
+        cols = list(zip(*out, strict=True)) or [[]] * len(names)
+        kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int32()] * 3 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+
+def _split(bodies: DataFrame) -> list[DataFrame]:
+    """Intervals of windows that occur again, for anchors with very many contexts: a table for each size of blocks."""
+    columns = ["anchor", "ctx", "n", "again", "first", "place", "windows", "body"]
+    rest = bodies.withColumn("first", F.lit(0)).withColumn("place", -F.col("lead")).select(*columns)
+    found = []
+    for size in BLOCKS:
+        blocks = materialize(rest.mapInArrow(lambda it, size=size: _blocks(it, size), PART))
+        keys = blocks.groupBy("key").agg(F.sum("n").alias("total"), (F.min("same") == F.max("same")).alias("alike")).where("total > 1").select("key", "alike")
+        judged = materialize(blocks.join(keys, "key"))
+        discard(blocks)
+        found.append(judged)
+        rest = judged.where("not alike").select(*columns)
+    return found
 
 
 def intervals(docs: DataFrame) -> DataFrame:
@@ -217,6 +213,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     found = text.where(F.octet_length("text") >= SPAN).mapInArrow(_runs, RUN)
     often = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor"))
     held = materialize(found.join(often, "anchor"))
+    discard(often)
     first = lambda c: F.first(c).alias(c)  # noqa: E731  of the one row each group's buffer began with
     contexts = materialize(
         held.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), *map(first, ("k1", "k2", "start", "windows", "lead")))
@@ -229,13 +226,19 @@ def intervals(docs: DataFrame) -> DataFrame:
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = bodies.where(F.col("kinds") <= HOT).select("anchor", "ctx", "body").repartition(n_parts, "anchor").sortWithinPartitions("anchor", "ctx")
-    windows = small.mapInArrow(_shard, "anchor long, ctx long, first long, last long").unionByName(_split(bodies.where(F.col("kinds") > HOT)))
+    split = _split(bodies.where(F.col("kinds") > HOT))
+    windows = small.mapInArrow(_shard, "anchor long, ctx long, first long, last long")
+    for judged in split:
+        stretch = judged.where("alike").select("anchor", "ctx", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("windows")).cast("long").alias("last"))
+        windows = windows.unionByName(stretch)
     whole = contexts.where("n > 1").select("anchor", "ctx", F.lit(0).cast("long").alias("first"), F.col("windows").cast("long").alias("last"))
     windows = windows.join(contexts.where("n > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_anti").unionByName(whole)
     verdicts = materialize(windows.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("windows")))
     cut = held.select("anchor", "ctx", "k1", "k2", "start").join(verdicts, ["anchor", "ctx"]).select("k1", "k2", "start", F.explode("windows").alias("w"))
     span = F.struct((F.col("start") + F.col("w.first")).alias("a"), (F.col("start") + F.col("w.last") + SPAN - 1).alias("b"))
-    return materialize(cut.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans")))
+    out = materialize(cut.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans")))
+    discard(held, contexts, bodies, verdicts, *split)
+    return out
 
 
 def _cut(it):
