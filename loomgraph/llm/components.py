@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,14 +23,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return pointed.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node points at one that points nowhere: no node has two targets, and no target has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the component is its least node. Rows of one node point at itself."""
-    now, mark = materialize(edges.where("a != b").select("a", "b").distinct()), None
-    while True:
-        now = materialize(_small_star(_large_star(now)))
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == mark:
-            break
-        mark = seen["n"], seen["h"]
+    now = materialize(_small_star(_large_star(edges.where("a != b").select("a", "b"))))
+    while not _settled(now):
+        before, now = now, materialize(_small_star(_large_star(now)))
+        discard(before)
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    out = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    discard(now)
+    return out

@@ -7,12 +7,13 @@ Documents with equal shingle sets are one class (64-bit digest); classes are joi
 2. Candidates: a set's first floor(n / 4) + 1 shingles in one order for all share one with each partner's. The order puts
    the commonest shingles last (a bounded list from counts over all documents), then goes by hash, so that a line that
    many documents share seldom makes candidates. Any order is right; this one keeps groups small.
-3. Links to one member: each class of a group is paired with its least. Pairs that the points don't rule out are verified
-   on the sets. This links most copies without pairing them all; common shingles' groups are split by salts first.
+3. Links to one member: each class of a group is paired with the one whose prefix others share most. Pairs that come often enough and that the points
+   don't rule out are verified on the sets. This links most copies without pairing them all, and need not find all links.
 4. All the rest: in groups that still hold several components, an R-tree over the members' points (nodes: the largest
    counts of each coordinate, and the range of sizes) is searched by every member for members of other components, large
-   groups as pairs of blocks; what the bound leaves is verified. So no link between different components is missed, and
-   copies that are already linked aren't paired.
+   groups as pairs of blocks. Linked sets share a number of prefix shingles that follows from their sizes; pairs found in
+   fewer groups go, the rest is verified. So no link between different components is missed, and copies that are already
+   linked aren't paired.
 
 Components follow by star contraction. Nothing is capped, and no group's pairs are all emitted.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches, materialize, signed, table
+from .shared import batches, discard, materialize, signed, table
 from .shingles import digests, shingle_sets
 
 GROUPS = 128
@@ -182,37 +183,70 @@ class RTree:
 def _search(it):
     """Pairs of different components that the points don't rule out, of each run of rows with one (token, i, j)."""
     held = None
-    cols = ["token", "i", "j", "side", "cls", "component", "n", "point", "excess"]
-
-    def pairs(run: pa.RecordBatch):
-        side, cls, comp, n, excess = (run.column(cols.index(c)).to_numpy() for c in ("side", "cls", "component", "n", "excess"))
-        points = np.frombuffer(b"".join(run.column(cols.index("point")).to_pylist()), np.uint8).reshape(-1, GROUPS)
+    names = ["side", "cls", "component", "n", "excess"]
+
+    def columns(batch: pa.RecordBatch):
+        points = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("point")).to_pylist()), np.uint8).reshape(-1, GROUPS)
+        return *(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names), points
+
+    def leaves(x, start, size):
+        """Runs of at most LEAF rows: one node each, whose members are held against each other, all runs at once."""
+        side, cls, comp, n, excess, points = x
+        for k in range(2, LEAF + 1):
+            own = start[size == k]
+            for i in range(k):
+                for j in range(i):
+                    a, b = own + i, own + j
+                    ok = (comp[a] != comp[b]) & ((side[a] == 2) | (side[a] != side[b])) & (4 * n[a] >= 3 * n[b]) & (4 * n[b] >= 3 * n[a])
+                    a, b = a[ok], b[ok]
+                    ok = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64) + np.minimum(excess[a], excess[b]) >= _needed(n[a], n[b])
+                    yield a[ok], b[ok]
+
+    def tree(x, start, end):
+        side, cls, comp, n, excess, points = (c[start:end] for c in x)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both (a block against itself)
-        tree = RTree(points[right], n[right], excess[right])
-        a, b = [], []
+        held_by = RTree(points[right], n[right], excess[right])
         for k in left:
-            got = right[tree.search(points[k], int(n[k]), int(excess[k]))]
+            got = right[held_by.search(points[k], int(n[k]), int(excess[k]))]
             got = got[(comp[got] != comp[k]) & ((side[got] != 2) | (cls[got] > cls[k]))]
-            a.append(np.full(len(got), cls[k]))
-            b.append(cls[got])
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def out(found):
+            yield np.full(len(got), start + k), start + got
+
+    def pairs(batch: pa.RecordBatch, starts: np.ndarray):
+        """starts: of the runs, and the end of the last."""
+        x = columns(batch)
+        size = np.diff(starts)
+        found = [*leaves(x, starts[:-1], size), (np.zeros(0, np.int64),) * 2]
+        for k in np.flatnonzero(size > LEAF):
+            found += tree(x, starts[k], starts[k + 1])
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
+        cls, n = x[1], x[3]
+        a, b = np.where(cls[a] < cls[b], a, b), np.where(cls[a] < cls[b], b, a)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[a], cls[b], n[a], n[b])], ["a", "b", "na", "nb"])
 
     for batch in it:
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
         key = np.stack([batch.column(k).to_numpy() for k in range(3)])
-        starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]) if batch.num_rows else np.zeros(1, np.int64)
-        found = [pairs(batch.slice(s, e - s)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+        starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+        if len(starts) > 1:
+            yield pairs(batch.slice(0, starts[-1]), starts)
         held = batch.slice(starts[-1])
-        if found:
-            yield out(found)
-    if held is not None and held.num_rows:
-        yield out([pairs(held)])
+    if held is not None:
+        yield pairs(held, np.array([0, held.num_rows]))
+
+
+def _often(found: DataFrame, part: int | None) -> DataFrame:
+    """(a, b) of sizes that can link, found in enough groups: a part of those that linked sets share (None: in any).
+
+    Of a set's |A| // 4 + 1 prefix shingles at most |A| - o are not in the other, o being the overlap of a link; and those
+    up to the earlier end of both prefixes are in both prefixes. So linked sets share the lesser of both bounds.
+    """
+    pairs = found.where("4 * na >= 3 * nb and 4 * nb >= 3 * na").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    o = F.ceil(3 * (F.col("na") + F.col("nb")) / 7.0)
+    shared = F.least(*[F.floor(F.col(n) / 4.0) + 1 - F.col(n) + o for n in ("na", "nb")])
+    return (pairs if part is None else pairs.where(F.col("c") * part >= shared)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,33 +267,38 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"), F.max("excess").alias("excess"))
     )
 
-    # 2: groups of one token; common tokens' groups are split by salts
+    # 2: tokens that two documents hold; a common token's rows are split by salts, and stay whatever their number
     held = spark.sparkContext.broadcast(common)  # at most LISTED values
     prefixes = text.where(F.length("text") > 0).mapInArrow(lambda it: _prefixes(it, held.value), "token long, common boolean, doc_id long")
     salted = prefixes.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int") + 1).otherwise(0))
     group = Window.partitionBy("token", "salt")
     grouped = salted.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low < high or salt > 0").select("token", "salt", "doc_id")
-    of_doc = rows.where("n > 0").select("doc_id", "cls").distinct()
-    members = materialize(grouped.join(of_doc, "doc_id").select("token", "salt", "cls").distinct())
+    of_doc = rows.where("n > 0").select("doc_id", "cls", "n").distinct()
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = grouped.join(of_doc, "doc_id").select("token", "cls", "n").repartition(n_parts, "cls").distinct()
+    # the share of a class's prefix that others have: highest for a text that many others are edited from
+    alike = F.count(F.lit(1)).over(Window.partitionBy("cls")) / F.floor(F.col("n") / 4.0 + 1)
+    members = materialize(members.withColumn("alike", alike.cast("float")))
 
     # the members' sets, once
     wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id"), F.col("cls").alias("wanted"))
     sets = materialize(text.join(wanted, "doc_id").select("wanted", "text").mapInArrow(_sets, "cls long, hashes binary"))
 
-    # 3: each member with the least of its group, those least with the least of all salts
-    stars = members.join(members.groupBy("token", "salt").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").drop("high"), ["token", "salt"])
-    lows = members.where("salt > 0").groupBy("token", "salt").agg(F.min("cls").alias("a"))
-    tops = lows.groupBy("token").agg(F.min("a").alias("b"))
-    pairs = stars.where("cls != low").select(F.col("cls").alias("a"), F.col("low").alias("b")).unionByName(lows.join(tops, "token").where("a != b").select("a", "b")).distinct()
+    # 3: each member with the one of its group whose prefix is most alike to others'
+    first = F.min(F.struct((-F.col("alike")).alias("rank"), F.col("cls").alias("b"), F.col("n").alias("nb"))).alias("first")
+    firsts = materialize(members.groupBy("token").agg(first, F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "first.b", "first.nb"))
+    stars = members.join(firsts, "token").where("cls <> b").select(F.col("cls").alias("a"), "b", F.col("n").alias("na"), "nb")
+    often = _often(stars, 4)
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"), F.col("excess").alias(f"e{x}"))
-    sized = pairs.join(side("a").select("a", "na"), "a").join(side("b").select("b", "nb"), "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b")
-    likely = sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb", "ea", "eb").mapInArrow(_bounded, "a long, b long")
-    links = materialize(_verify(materialize(likely), sets))
-    first = components(links)
+    likely = often.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb", "ea", "eb").mapInArrow(_bounded, "a long, b long")
+    likely = materialize(likely)
+    links = materialize(_verify(likely, sets))
+    linked = components(links)
 
     # 4: what may link different components
-    placed = members.select("token", "cls").distinct().join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = members.select("token", "cls").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = materialize(placed)
+    discard(members, firsts, likely)
     open_groups = placed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     spread = placed.join(open_groups, "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -268,14 +307,17 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "cls", "component",
     )
     full = spread.join(classes.select("cls", "n", "point", "excess"), "cls").select("token", "i", "j", "side", "cls", "component", "n", "point", "excess")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = full.repartition(n_parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_search, "a long, b long").distinct()
-    more = materialize(_verify(materialize(found), sets))
-    last = components(links.unionByName(more))
+    found = full.repartition(n_parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_search, "a long, b long, na long, nb long")
+    found = materialize(_often(found, 1))
+    more = materialize(_verify(found, sets))
+    discard(sets, placed, found)
+    last = linked if more.isEmpty() else components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labelled = classes.select("cls", "rep").join(last.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "cls", "n"), materialize(labelled.join(least, "component").select("cls", "component_id"))
+    out = materialize(labelled.join(least, "component").select("cls", "component_id"))
+    discard(classes, links, more, linked)
+    return rows.select("doc_id", "cls", "n"), out
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
