@@ -17,7 +17,8 @@ Documents with equal shingle sets are one class (64-bit digest); classes are joi
 
 Components follow by star contraction. Nothing is capped, and no group's pairs are all emitted.
 
-Cases: null and empty texts, or texts without words, have an empty set, no links and themselves as component. With fewer
+Cases: null and empty texts, or texts without words, have an empty set, no links and themselves as component. A null doc_id
+counts as the greatest. With fewer
 than five words the whole sequence is one shingle. Rows that repeat are copies. Extra columns play no part; an empty table
 gives no rows.
 """
@@ -40,6 +41,8 @@ SALTS = 64
 #: Members of a group that one task searches against as many others.
 BLOCK = 2_000
 LEAF = 16
+#: Stands for a null doc_id, so that such documents link too; it is least only among its like.
+NO_ID = 2**63 - 1
 TOKEN_BYTES = 5  # of a hash, for verification: two sets' hashes clash with odds of |A| * |B| / 2**40
 
 
@@ -258,7 +261,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(described, classes): doc_id, cls, n for each document; cls, component (least doc_id) for each class."""
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     described = materialize(text.mapInArrow(_describe, "kind int, doc_id long, cls long, n long, point binary, excess long"))
     common = described.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(LISTED).collect()
     common = np.sort(np.array([r["cls"] for r in common], np.int64).view(np.uint64))
@@ -323,7 +326,8 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, cls for each document."""
     rows, classes = jaccard_components(docs)
-    return rows.join(classes, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
+    own, least = F.nullif(F.col("doc_id"), F.lit(NO_ID)), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID))
+    return rows.join(classes, "cls", "left").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), least.alias("component_id"), "cls")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

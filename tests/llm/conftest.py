@@ -23,7 +23,7 @@ def odd_rows():
     texts += [f"{prose(10 + k, 60)}\n{passage}\n{prose(40 + k, 50)}" for k in range(6)]
     texts += ["a" * 900, "ab" * 500, prose(7, 12_000), "漢字 é ß 🙂 \x00 \u00a0 it's <|endoftext|> 12345!!", "x" * 199, "y" * 200, prose(8, 4)]
     rows = [(k, t) for k, t in enumerate(texts)]
-    return [*rows, (3, "one two"), (100, prose(9, 90)), (100, prose(9, 90)), (None, "no id"), (None, None)]
+    return [*rows, (3, "one two"), (100, prose(9, 90)), (100, prose(9, 90)), (None, "no id"), (None, None), (None, edited(prose(40, 150), 6, 0.01)), (200, prose(40, 150))]
 
 
 @pytest.fixture(scope="session")
