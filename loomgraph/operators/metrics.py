@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from ..functions.ids import pid, targets
 from .graph import edge_list
 from .ingest import UNKNOWN
 
-#: Fields fit a 64-bit mask.
-MOST_FIELDS = 63
+#: 64-bit masks that hold a set of fields; more than 64 fields each is an error, not a loss.
+MASKS = 4
 
 
 def n_cited_of(distinct: bool = True) -> Column:
@@ -54,18 +57,21 @@ def field_lookup(attributes: DataFrame, earlier: DataFrame | None = None) -> Dat
         both = known(own.unionByName(earlier.select(F.col("id").alias("dst"), "field", F.lit(1).alias("rank"))))
         every = both.groupBy("dst").agg(F.min_by("field", "rank").alias("field"))
         codes = field_codes(attributes, earlier)
-    return every.join(F.broadcast(codes.where(F.col("code") <= MOST_FIELDS)), "field").select("dst", "code")
+    too_many = F.raise_error(F.lit(f"more than {64 * MASKS} fields")).cast("bigint")
+    codes = codes.withColumn("code", F.when(F.col("code") < 64 * MASKS, F.col("code")).otherwise(too_many))
+    return every.join(F.broadcast(codes), "field").select("dst", "code")  # at most 64 * MASKS rows
 
 
 def diversity_count(edges: DataFrame, lookup: DataFrame) -> DataFrame:
     """id, diversity_count of each source: distinct known fields among its references, itself left out; 0 if none.
 
-    A mask of fields is OR-ed in the grouping: its buffer is one long, and it begins map-side.
+    Masks of fields are OR-ed in the grouping: its buffer is a few longs, and it begins map-side.
     """
-    listed = edge_list(edges)
-    masks = listed.where("src != dst").join(lookup, "dst").groupBy(F.col("src").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, int(code))")).alias("mask"))
-    every = edges.select(pid("source").alias("id"))
-    return every.join(masks, "id", "left").select("id", F.coalesce(F.bit_count("mask"), F.lit(0)).cast("int").alias("diversity_count"))
+    listed = edge_list(edges).where("src != dst").join(lookup, "dst")
+    words = [F.bit_or(F.expr(f"if(code div 64 = {k}, shiftleft(1L, int(code % 64)), 0L)")).alias(f"mask{k}") for k in range(MASKS)]
+    masks = listed.groupBy(F.col("src").alias("id")).agg(*words)
+    count = reduce(add, [F.coalesce(F.bit_count(f"mask{k}"), F.lit(0)) for k in range(MASKS)])
+    return edges.select(pid("source").alias("id")).join(masks, "id", "left").select("id", count.cast("int").alias("diversity_count"))
 
 
 def with_diversity(attributes: DataFrame, counts: DataFrame) -> DataFrame:

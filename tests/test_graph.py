@@ -63,6 +63,15 @@ def test_diversity(spark):
     assert rows(graph.isolated(a, e).select("id")) == [("W6",)] and graph.retain_connected(a, e).count() == 4
 
 
+def test_diversity_of_many_fields(spark):
+    a = papers(spark, [(f"W{k}", 2000, f"F{k}") for k in range(1, 201)])
+    e = edges(spark, W900=";".join(f"W{k}" for k in range(1, 201)))
+    assert rows(metrics.diversity_count(e, metrics.field_lookup(a))) == [(900, 200)]
+    more = papers(spark, [(f"W{k}", 2000, f"F{k}") for k in range(1, 301)])
+    with pytest.raises(Exception, match="more than 256 fields"):
+        metrics.diversity_count(edges(spark, W900=";".join(f"W{k}" for k in range(1, 301))), metrics.field_lookup(more)).collect()
+
+
 def _cohort(spark, counts):
     data = [(i, n, i % 2, 2000, d) for i, (n, d) in enumerate(counts)]
     return spark.createDataFrame(data, "id bigint, n_cited bigint, n_mutual bigint, year int, diversity_count int")
