@@ -15,4 +15,8 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op5_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op10_license_scan": license_scan.oracle(),
+}
