@@ -286,3 +286,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = {"n_bytes": "__n_bytes", "n_removed": "__n_removed", "n_spans": "__n_spans", "kept_sha256": "__kept_sha256"}
     return cut(docs).select("doc_id", *(F.col(v).alias(k) for k, v in names.items()))
+
+
+#: Every window of every text by its hash, removed runs as islands of starts: for small tables.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT row, i, hash(b[i:i + 199]) AS h FROM (SELECT row, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+s AS (SELECT row, i, coalesce(i > lag(i) OVER (PARTITION BY row ORDER BY i) + 200, true) AS opens FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+k AS (SELECT row, i, sum(opens::INTEGER) OVER (PARTITION BY row ORDER BY i) AS run FROM s),
+r AS (SELECT row, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY row, run),
+p AS (SELECT row, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 1) AS a, a - 1 AS z FROM r UNION ALL SELECT row, max(z), 9223372036854775 FROM r GROUP BY row),
+kept AS (SELECT row, unhex(string_agg(hex(CASE WHEN p.z < p.a THEN ''::BLOB ELSE d.b[p.a:least(p.z, octet_length(d.b))] END), '' ORDER BY p.a)) AS rest FROM p JOIN d USING (row) GROUP BY row),
+n AS (SELECT row, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM r GROUP BY row)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(rest, b)) AS kept_sha256
+FROM d LEFT JOIN n USING (row) LEFT JOIN kept USING (row)
+"""
