@@ -11,7 +11,8 @@ its context. Equal windows have equal anchors. So:
    chunks of whole anchors: a chunk's suffix array is induced (suffix_array), permuted common prefixes of SPAN or more
    with a neighbour mark the windows that occur again.
 4. An anchor with more than HOT distinct contexts (a passage that very many documents share, at its edges) is split
-   instead, by windows' place relative to the anchor in blocks and by the bytes common to a block's windows: blocks alone
+   instead, by windows' place relative to the anchor in blocks and by the bytes common to a block's windows (a run with the
+   anchor's gram several times falls into stretches first, so that each window has its place as elsewhere): blocks alone
    with these bytes are done, blocks in which all agree are settled by their count, and the rest is split again into
    smaller blocks (BLOCKS), at last windows. The counts begin map-side; no task gets such an anchor whole.
 
@@ -175,18 +176,21 @@ def _blocks(it, size: int):
         for anchor, ctx, n, again, first, place, windows, body in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
             raw = np.frombuffer(body, np.uint8)
             prefix = prefix_hash(raw)
-            # a gram that comes again in a run is no place to go by: its windows go alone, by their bytes
-            step = 1 if again else size
-            block = (np.arange(windows) + (0 if again else place)) // step
-            a = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            at = np.arange(windows)
+            spots = place + at
+            if again:  # each window goes by the leftmost of the anchor's grams in it, as equal windows elsewhere do
+                gram = np.arange(len(raw) - GRAM + 1)
+                grams = np.flatnonzero(signed(span_hash(prefix, gram, gram + GRAM)) == anchor)
+                spots = at - grams[np.searchsorted(grams, at)]
+            block = spots // size
+            a = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (spots[1:] != spots[:-1] + 1)]))
             b = np.append(a[1:], windows)
-            core = a if step == 1 else block[a] * step + step - 1 - place
-            core_end = a + SPAN if step == 1 else block[a] * step + SPAN - place
-            where = mix(block[a].astype(np.uint64)) if step > 1 else np.zeros(len(a), np.uint64)
-            key = signed(mix(span_hash(prefix, core, core_end) ^ where ^ np.uint64(anchor & (2**64 - 1))))
+            core = a - spots[a] + block[a] * size
+            where = mix(block[a].astype(np.uint64))
+            key = signed(mix(span_hash(prefix, core + size - 1, core + SPAN) ^ where ^ np.uint64(anchor & (2**64 - 1))))
             same = signed(mix(span_hash(prefix, a, b + SPAN - 1) + (b - a).astype(np.uint64)))
             for k in range(len(a)):
-                out.append((key[k], same[k], n, anchor, ctx, again, first + a[k], place + a[k], b[k] - a[k], body[a[k] : b[k] + SPAN - 1]))
+                out.append((key[k], same[k], n, anchor, ctx, False, first + a[k], spots[a[k]], b[k] - a[k], body[a[k] : b[k] + SPAN - 1]))
         cols = list(zip(*out, strict=True)) or [[]] * len(names)
         kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int32()] * 3 + [pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from tests.llm.conftest import prose
 
 from loomgraph.llm import components, exact_dedup, jaccard_join, substring_dedup
 from loomgraph.llm.suffix_array import common_prefixes, induced_sort
@@ -137,6 +138,17 @@ def test_substrings(odd, odd_rows, monkeypatch, hot):
     assert sorted(repr(tuple(r)) for r in got) == cut_brute(odd_rows)
 
 
+@pytest.mark.parametrize("hot", [256, 1])
+def test_doubled_lines_meet_single_ones(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rows = []
+    for k in range(12):
+        head, line = prose(300 + k, 40), prose(400 + k, 40)[: 60 + 8 * k] + "\n"
+        rows += [(3 * k, head + line + line + prose(500 + k, 40)), (3 * k + 1, head + line + prose(600 + k, 40)), (3 * k + 2, prose(700 + k, 40) + line * 3)]
+    got = substring_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "__n_bytes", "__n_removed", "__n_spans", "__kept_sha256").collect()
+    assert sorted(repr(tuple(r)) for r in got) == cut_brute(rows)
+
+
 def test_removed_passages_leave_the_other_columns(odd, empty):
     new = substring_dedup.remove_repeats(odd)
     assert new.columns == odd.columns
