@@ -5,7 +5,9 @@ first 3, 4, 5 and 6 bytes' hashes. FILTERS filters of each width in WIDTHS slide
 response of each over the whole text goes through a rectifier to a logistic output. Trained on the driver by Adagrad over
 a bounded sample: of the labelled rows, at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean ones of at most SAMPLE_CHARS
 characters, the first by the hash of doc_id. A fifth of the sample (again by hash) trains nothing: on it the output is
-scaled (temperature and the sampling's prior) and each language's threshold set. Scoring runs over every whole text.
+scaled (temperature and the sampling's prior). Scoring runs over every whole text. Each language's threshold is set on all
+labelled documents outside the fitting part, of any length, from counts of scores by language, bin and label. Where the
+sample is too small to hold a fifth back (40 rows, both classes), the rows that it was fitted to calibrate too.
 
 The score's only input is the text. `toxic` is score >= the language's threshold; languages with fewer than MIN_ROWS
 calibration rows of a class have the threshold of all languages together.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import INVERSE, LOWER, column_bytes, mix, powers, prefix_hash, steps, table
+from .shared import INVERSE, LOWER, column_bytes, discard, materialize, mix, powers, prefix_hash, steps, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 5_000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 18, 8, 10, (1, 2, 3), (3, 4, 5, 6)
@@ -33,6 +35,8 @@ EPOCHS, MOST_EPOCHS, BATCH, RATE = 8, 60, 48, 0.15
 #: Share of words whose whole-word embedding is left out in a training step, so that prefixes learn too.
 DROPPED = 0.5
 MIN_ROWS = 20
+#: Bins of scores that thresholds lie between.
+BINS = 1000
 #: The contract's limit for `predicted`.
 LIMIT = 0.7
 
@@ -74,6 +78,7 @@ class Model:
     prior: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
+    fitted: list[int] = field(default_factory=list)  # doc_ids that play no part in calibration
 
     def pooled(self, feats: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The filters' largest responses by document, where they begin (word + padding), and the padded embeddings."""
@@ -187,31 +192,34 @@ def _score_texts(m: Model, texts: list[str], raw_logits: bool = False) -> np.nda
     return np.array(out)
 
 
-def _cut(scores: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
-    """Where fewest (weighted) rows are on the wrong side; the middle of the gap there."""
-    order = np.argsort(-scores)
-    s, y, w = scores[order], labels[order], weight[order]
-    wrong = np.concatenate([[0], np.cumsum(np.where(y == 0, w, -w))]) + (w * y).sum()
+def _cut(counts: dict[tuple[int, int], float]) -> float:
+    """Between which bins of scores fewest (weighted) rows, by (bin, label), are on the wrong side; the middle of the gap there."""
+    bins = sorted({k for k, _ in counts}, reverse=True)
+    toxic, clean = (np.array([counts.get((k, y), 0.0) for k in bins]) for y in (1, 0))
+    wrong = np.concatenate([[0], np.cumsum(clean - toxic)]) + toxic.sum()
     k = int(wrong.argmin())
-    high = s[k - 1] if k else 1.0
-    low = s[k] if k < len(s) else 0.0
+    high = bins[k - 1] / BINS if k else 1.0
+    low = (bins[k] + 1) / BINS if k < len(bins) else 0.0
     return float(min(0.95, max(0.05, (high + low) / 2)))
 
 
+def _teaching(labels: DataFrame, learn: Column | None) -> DataFrame:
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    return rows if learn is None else rows.where(learn)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model | None:
     """learn: which label rows may teach (a condition on doc_id). None without labels of both classes."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    if learn is not None:
-        rows = rows.where(learn)
+    rows = _teaching(labels, learn)
     picked = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = picked[0].unionByName(picked[1])
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.length("text") <= SAMPLE_CHARS)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS)
     got = text.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).collect()  # bounded by `sample`
     y = np.array([r["toxic"] for r in got], np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    texts, langs = [r["text"] or "" for r in got], np.array([r["lang"] or "" for r in got])
+    texts = [r["text"] or "" for r in got]
     held = np.arange(len(y)) % 5 == 4
     if held.sum() < 40 or len(np.unique(y[held])) < 2:
         held_fit, held = np.zeros(len(y), bool), np.ones(len(y), bool)
@@ -225,15 +233,34 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mo
     share = share / share.sum()
     loss = lambda s: float((share * np.logaddexp(0, -(2 * yh - 1) * (z * s + m.prior))).sum())
     m.scale = min((float(s) for s in np.geomspace(0.25, 8, 26)), key=loss)
-    scores = 1 / (1 + np.exp(-np.clip(z * m.scale + m.prior, -30, 30)))
-    m.threshold = _cut(scores, yh, share)
-    for lang in np.unique(langs[held]):
-        own = langs[held] == lang
-        if min((yh[own] == 1).sum(), (yh[own] == 0).sum()) >= MIN_ROWS:
-            m.thresholds[str(lang)] = _cut(scores[own], yh[own], share[own])
+    if held_fit.any():
+        m.fitted = sorted({r["doc_id"] for r, h in zip(got, held_fit, strict=True) if not h})
     return m
 
 
+def calibrate(m: Model, docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> None:
+    """Sets the thresholds on all labelled documents that the model wasn't fitted to, by counts of their scores."""
+    spark = docs.sparkSession
+    rows = _teaching(labels, learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # texts stay where they are: scores are joined to labels, not texts
+    slim = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text"), m)
+    slim = slim.select("doc_id", "lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    fitted = spark.createDataFrame([(i,) for i in m.fitted], "doc_id long").withColumn("fitted", F.lit(True))  # bounded by the sample
+    slim = slim.join(rows, "doc_id").join(F.broadcast(fitted), "doc_id", "left").withColumn("fitted", F.col("fitted").isNotNull())
+    counts = materialize(slim.groupBy("lang", "bin", "toxic", "fitted").agg(F.count(F.lit(1)).alias("n")))
+    every = counts.groupBy("bin", "toxic", "fitted").agg(F.sum("n").alias("n")).collect()  # 4 * BINS rows at most
+    # the fitting part was drawn by class: rows outside it stand for their whole class
+    weight = {y: sum(r["n"] for r in every if r["toxic"] == y) / max(1, sum(r["n"] for r in every if r["toxic"] == y and not r["fitted"])) for y in (0, 1)}
+    m.threshold = _cut({(r["bin"], r["toxic"]): r["n"] * weight[r["toxic"]] for r in every if not r["fitted"]})
+    free = counts.where("not fitted")
+    enough = free.groupBy("lang").agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1))).where(f"least(n0, n1) >= {MIN_ROWS}")
+    own: dict[str, dict[tuple[int, int], float]] = {}
+    for r in free.join(enough.select("lang"), "lang").select("lang", "bin", "toxic", "n").collect():  # 2 * BINS rows a language at most
+        own.setdefault(r["lang"], {})[r["bin"], r["toxic"]] = r["n"] * weight[r["toxic"]]
+    m.thresholds = {lang: _cut(c) for lang, c in own.items()}
+    discard(counts)
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents' columns with `score` (0 to 1)."""
     docs = docs.drop("score")
@@ -264,6 +291,8 @@ def threshold_of(model: Model | None, lang: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
     """The documents' columns with `score` and `toxic`."""
     model = train(docs, labels, learn)
+    if model is not None:
+        calibrate(model, docs, labels, learn)
     return score(docs, model).withColumn("toxic", F.col("score") >= threshold_of(model, F.coalesce(F.col("lang"), F.lit(""))))
 
 

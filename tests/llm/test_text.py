@@ -124,6 +124,20 @@ def test_toxicity(spark, empty):
     assert toxicity.keep_clean(empty, known.limit(0)).columns == empty.columns
 
 
+def test_thresholds_come_from_all_labels(spark, monkeypatch):
+    held = {}
+    real = toxicity.threshold_of
+    monkeypatch.setattr(toxicity, "threshold_of", lambda model, lang: held.update(model=model) or real(model, lang))
+    for name, value in (("SAMPLE_TOXIC", 150), ("SAMPLE_CLEAN", 150), ("SAMPLE_CHARS", 2000)):
+        monkeypatch.setattr(toxicity, name, value)
+    rows = [(k, prose(2000 + k, 12) + " awful" * (k % 2), "de" if k % 10 < 2 else "en") for k in range(600)]
+    rows += [(1000 + k, prose(3000 + k, 600) + " awful" * (k % 2), "fr") for k in range(60)]
+    known = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string, lang string"), known).collect()
+    assert len(got) == len(rows) and held["model"].thresholds.keys() == {"de", "en", "fr"}
+    assert np.mean([r["toxic"] == (r["doc_id"] % 2 == 1) for r in got]) > 0.9
+
+
 def test_scores_do_not_hang_on_batches():
     m = toxicity._fit(["one two awful", "three four", "awful six", "seven"] * 10, np.array([1, 0, 1, 0] * 10, np.float32))
     texts = [b"", b"one awful", b"a b c d", b"four", "é awful ñ".encode()]
