@@ -2,8 +2,9 @@
 
 Canonical form: lower case, equivalent spellings made one, copyright lines dropped, every run of characters other than
 letters and digits one space. The entire document, and each of its lines taken as an entire text, get a SHA-256 digest of
-that form; the known licences' digests (a fixed list, broadcast: its size is that of license_texts.KNOWN) are joined to
-them. The join needs no shuffle; a document's matches meet again in a grouping that begins map-side.
+that form; the known licences' digests (a fixed list, broadcast: its size is that of license_texts.KNOWN and DIGESTS) are
+joined to them. KNOWN holds short texts and notices, DIGESTS only the digests of long licences (Apache, GPL, LGPL, MPL, CC0,
+GFDL, Artistic, BSD of the Regents). The join needs no shuffle; a document's matches meet again in a grouping that begins map-side.
 
 Result, a row for each document row: doc_id, license (of the whole text, else null), licenses (those found in it, sorted,
 joined by ';', '' if none), n_lines (lines that match), first_line (the first of them from 0, else null).
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import KNOWN, SPELLINGS
+from .license_texts import DIGESTS, KNOWN, SPELLINGS
 from .shared import table
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b(?! (?:notice|holder))|\(c\) |©|all rights reserved)[^\n]*"
@@ -36,10 +37,11 @@ def _whole(form: Column) -> Column:
     return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license: of each known text."""
+def known_digests(spark: SparkSession, known=KNOWN, digests=DIGESTS) -> DataFrame:
+    """digest, license: of each known text, and those given as digests."""
     rows = spark.createDataFrame([(i, t) for i, _, t in known], "license string, text string")
-    return rows.select(F.sha2(_whole(canonical(F.col("text"))), 256).alias("digest"), "license").distinct()
+    given = spark.createDataFrame(digests, "license string, digest string").select("digest", "license")
+    return rows.select(F.sha2(_whole(canonical(F.col("text"))), 256).alias("digest"), "license").unionByName(given).distinct()
 
 
 def license_scan(docs: DataFrame, known=KNOWN) -> DataFrame:

@@ -77,6 +77,30 @@ KNOWN = [
     ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
 ]
 
+#: Long texts by the SHA-256 of their canonical form (license_scan): the published text whole, and up to its END OF TERMS AND CONDITIONS.
+DIGESTS = [
+    ("Apache-2.0", "bc076abbbd0a733d8d1bccb29fc922703ada79172d50fb1903ceeb6a518ec502"),
+    ("Apache-2.0", "c0b7c558587110eed5f75a054ebab0de75e3b484ebc9b8f03ca0e0aea08c51f1"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "093bb37bff6533bc1f91f57d671e3e2cc9e4e27afc1293808fddc861a6d15329"),
+    ("GPL-3.0", "ad4a8c0f86b40eeaec03087f95684ff7965ffea480d1a58d4d7d9cb5ea929725"),
+    ("LGPL-2.0", "148f4708fdb34267f108b3467504e464cf0c00e2c6b6ebafc1a45e2e5c4506b9"),
+    ("LGPL-2.0", "d222a36a2b1ccf8a658f07530f9112e21af962df04221a899ad6bb4c64f7c9c4"),
+    ("LGPL-2.1", "c3acda00b8ee9c98becbe30fce8f159cc6a985b3b9dc521e37d9ab2f241463b2"),
+    ("LGPL-2.1", "21ab10a618f74a48ffcb6704df5fe40782e7250fc3d8d57a7463f7a1f69fe4d3"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
 #: Spelling on the left (a pattern over lower-case text) becomes the word on the right.
 SPELLINGS = [
     (r"licen[cs](e|es|ed|ing|ee|ees|or|ors)\b", "licens$1"),

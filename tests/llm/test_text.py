@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import pathlib
 import re
 
 import numpy as np
@@ -256,6 +257,20 @@ def test_licences(spark, odd, odd_rows, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_long_licences(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0"}
+    want |= {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = {name: (folder / name).read_text() for name in want if (folder / name).exists()}
+    if not texts:
+        pytest.skip("no licence texts here")
+    rows = [(name, t.upper().replace("\n", "\n\n  ")) for name, t in texts.items()] + [("half", t[: len(t) // 2]) for t in texts.values()]
+    end = "END OF TERMS AND CONDITIONS"
+    rows += [(name, t[: t.index(end) + len(end)]) for name, t in texts.items() if end in t]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license"] == want.get(r["doc_id"]) for r in got)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_licences_of_documents(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
