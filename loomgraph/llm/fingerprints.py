@@ -1,6 +1,6 @@
 """Document fingerprints from prefix polynomial hashes.
 
-A text's prefix array (PrefixHash) holds the sums of value(c_i) * BASE**i modulo 2**64 over its code points. From it the
+A text's prefix array (PrefixHash) holds the sums of (c_i + 1) * BASE**i over its code points, modulo the prime 2**61 - 1. From it the
 hash of any span is one subtraction and one product, so that spans of any two texts compare at once, and the longest
 common extension of two places is found by binary search. The fingerprint is the text's hash, its length and the SKETCH
 least distinct hashes (upper 32 bits) of its WINDOW-point spans, in hex. The likeness of two fingerprints is the share of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BASE, INVERSE, mix, powers, table
+from .shared import arrow_batches, prefix_hash, span_hash, table
 
 WINDOW, SKETCH = 16, 64
 RANGES = 64
@@ -43,13 +43,12 @@ def points(text: str | None) -> np.ndarray:
 class PrefixHash:
     def __init__(self, codes: np.ndarray):
         self.n = len(codes)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * powers(BASE, self.n), out=self.sums[1:])
+        self.sums = prefix_hash(codes)
 
     def spans(self, start, size: int) -> np.ndarray:
         """Hashes of the spans of `size` points at `start` (an array), wherever they stand."""
         start = np.atleast_1d(start)
-        return mix((self.sums[start + size] - self.sums[start]) * powers(INVERSE, self.n + 1)[start] + np.uint64(size))
+        return span_hash(self.sums, start, start + size)
 
     def equal(self, i: int, other: PrefixHash, j: int, size: int) -> bool:
         return bool((self.spans(i, size) == other.spans(j, size))[0])

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import BASE, mix, powers, span_hash, table
+from .shared import arrow_batches, prefix_hash, span_hash, table
 
 N_BEST = 4
 SPACE = "▁"
@@ -239,7 +239,7 @@ class Pieces:
         off = np.concatenate([[0], np.cumsum([len(t) for t in marked])]).astype(np.int64)
         start = self.units(codes, off)
         end = np.append(start[1:], len(codes))
-        _, first, which = np.unique(_span_hash(codes, start, end), return_index=True, return_inverse=True)
+        _, first, which = np.unique(span_hash(prefix_hash(codes), start, end), return_index=True, return_inverse=True)
         score, loss, flat, number = self.survey(codes, start[first], end[first])
         at = np.cumsum(number) - number
         sizes = number[which]
@@ -277,12 +277,6 @@ class Pieces:
         return at[np.argsort(own[at], kind="stable")][:few]
 
 
-def _span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    prefix = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(codes)), out=prefix[1:])
-    return span_hash(prefix, start, end)
-
-
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)

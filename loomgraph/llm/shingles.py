@@ -37,8 +37,9 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
 
 
-def digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def digests(h: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
     """One 64-bit digest of each set; equal sets have equal digests."""
-    place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))])
+    place = (np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
+    terms = mix(h + (place + np.uint64(1 + (seed << 40))) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64))

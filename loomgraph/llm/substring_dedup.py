@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batches, column_bytes, discard, materialize, mix, prefix_hash, row_key, signed, span_hash, table
+from .shared import arrow_batches, batches, column_bytes, discard, materialize, mix, prefix_hash, row_key, signed, span_hash, table
 from .suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 48
@@ -43,6 +43,19 @@ CHUNK = 300_000
 RUN = "anchor long, ctx long, k1 long, k2 long, start long, windows int, lead int, again boolean"
 
 
+_ODD = 0x2545F4914F6CDD1D
+_POWERS = [np.ones(1, np.uint64)] * 2
+
+
+def grams(raw: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each gram of `size` bytes that only chooses anchors: grams that share it are told apart later."""
+    if len(_POWERS[0]) <= len(raw):
+        _POWERS[:] = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * len(raw), b % 2**64, np.uint64)])) for b in (_ODD, pow(_ODD, -1, 2**64)))
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(raw)], out=prefix[1:])
+    return mix((prefix[size:] - prefix[:-size]) * _POWERS[1][: len(prefix) - size])
+
+
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of each `width` neighbours."""
     size = 1
@@ -58,9 +71,8 @@ def runs(raw: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM):
     none = np.zeros(0, np.int64)
     if n < span:
         return none, none, none, none, none.astype(bool), none.astype(np.uint64), none.astype(np.uint64)
-    prefix = prefix_hash(raw)
-    at = np.arange(n - gram + 1)
-    h = span_hash(prefix, at, at + gram)
+    h = grams(raw, gram)
+    at = np.arange(len(h))
     pos = (_least((h & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64), span - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.searchsorted(off, np.arange(len(pos)), side="right") - 1
     window = np.flatnonzero(np.arange(len(pos)) + span <= off[row + 1])
@@ -78,6 +90,7 @@ def runs(raw: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM):
     first, anchor = first[apart], anchor[apart]
     last = np.append(first[1:], len(window)) - 1
     start, end = window[first], window[last]
+    prefix = prefix_hash(raw)
     return row[first], start - off[row[first]], end - start + 1, pos[first] - start, joined, anchor, span_hash(prefix, start, end + span)
 
 
@@ -179,9 +192,8 @@ def _blocks(it, size: int):
             at = np.arange(windows)
             spots = place + at
             if again:  # each window goes by the leftmost of the anchor's grams in it, as equal windows elsewhere do
-                gram = np.arange(len(raw) - GRAM + 1)
-                grams = np.flatnonzero(signed(span_hash(prefix, gram, gram + GRAM)) == anchor)
-                spots = at - grams[np.searchsorted(grams, at)]
+                own = np.flatnonzero(signed(grams(raw, GRAM)) == anchor)
+                spots = at - own[np.searchsorted(own, at)]
             block = spots // size
             a = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (spots[1:] != spots[:-1] + 1)]))
             b = np.append(a[1:], windows)

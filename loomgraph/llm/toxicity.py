@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import INVERSE, LOWER, column_bytes, discard, materialize, mix, powers, prefix_hash, steps, table
+from .shared import LOWER, arrow_batches, column_bytes, discard, materialize, mix, prefix_hash, span_hash, steps, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 5_000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 18, 8, 10, (1, 2, 3), (3, 4, 5, 6)
@@ -57,13 +57,12 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         last[cut - 1] |= letter[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     prefix = prefix_hash(LOWER[raw])
-    back = powers(INVERSE, len(prefix))[start]
     out = np.empty((len(start), 1 + len(PREFIXES)), np.int32)
-    out[:, 0] = mix((prefix[end] - prefix[start]) * back + np.uint64(77)) % np.uint64(BUCKETS)
+    out[:, 0] = mix(span_hash(prefix, start, end) + np.uint64(77)) % np.uint64(BUCKETS)
     for k, size in enumerate(PREFIXES, 1):
         has = end - start > size
-        stop = np.minimum(start + size, len(raw))
-        out[:, k] = np.where(has, mix((prefix[stop] - prefix[start]) * back + np.uint64(size)) % np.uint64(BUCKETS), BUCKETS)
+        out[:, k] = BUCKETS
+        out[has, k] = span_hash(prefix, start[has], start[has] + size) % np.uint64(BUCKETS)
     return out, np.searchsorted(start, off)
 
 

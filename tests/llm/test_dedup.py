@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from tests.llm.conftest import prose
+from tests.llm.conftest import edited, prose
 
 from loomgraph.llm import components, exact_dedup, jaccard_join, substring_dedup
 from loomgraph.llm.suffix_array import common_prefixes, induced_sort
@@ -75,6 +75,43 @@ def test_jaccard(odd, odd_rows, monkeypatch, block):
     assert sorted(repr(tuple(r)) for r in got) == jaccard_brute(odd_rows)
 
 
+def test_documents_without_id_link(spark):
+    base = prose(40, 150)
+    rows = [(None, base), (None, edited(base, 1, 0.01)), (None, edited(base, 2, 0.01)), (None, prose(41, 90)), (7, prose(42, 200)), (None, edited(prose(42, 200), 3, 0.01)), (None, None), (8, ""), (7, prose(43, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == jaccard_brute(rows)
+    kept = [r["text"] for r in jaccard_join.keep_representatives(docs).collect()]
+    assert sum(t in [x for _, x in rows[:3]] for t in kept) == 1 and len(kept) == 6 and rows[4][1] in kept and rows[5][1] not in kept
+
+
+def test_many_members_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    base = prose(50, 60)
+    rows = [(k, edited(base, 60 + k, 0.004 * (k % 12))) for k in range(90)] + [(100 + k, base + " " + prose(70 + k, 4 * k)) for k in range(8)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == jaccard_brute(rows)
+
+
+def test_sizes_of_points_meet():
+    """Pairs whose points have different numbers of groups are held against each other, and no link is lost."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    draw = lambda k: np.unique(rng.integers(0, 2**64, k, dtype=np.uint64))
+    sets = [draw(int(k)) for k in rng.integers(1, 300, 40)]
+    sets = [x for s in sets for x in (s, np.unique(np.concatenate([s[: int(len(s) * 0.93)], draw(int(len(s) * 0.12))])))]
+    for hubs in (1, 9):
+        hub = np.sort(np.arange(len(sets)) % hubs)
+        points = [jaccard_join.point(s, int(jaccard_join._groups(np.array([len(s)]))[0])) for s in sets]
+        whole = np.zeros(len(sets), np.int64)
+        columns = {"hub": hub, "i": whole, "j": whole, "side": whole + 2, "cls": np.arange(len(sets)), "component": np.arange(len(sets)), "head": np.ones(len(sets), bool), "n": np.array([len(s) for s in sets], np.int32)}
+        batch = pa.RecordBatch.from_pydict({**columns, "point": [p.tobytes() for p, _ in points], "excess": [e for _, e in points]})
+        got = {(a, b) for out in jaccard_join._search([batch]) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+        want = {(a, b) for b in range(len(sets)) for a in range(b) if hub[a] == hub[b] and 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - both)}
+        assert want and want <= got and len(got) < 4 * len(want)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
@@ -90,10 +127,8 @@ def test_r_tree_bound_misses_nothing():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2000, rng.integers(1, 400), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], rng.integers(0, 9, 3, dtype=np.uint64)])) for s in sets]
-    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    counts = jaccard_join._points(np.concatenate(sets), bounds)
-    points, n = np.minimum(counts, 255).astype(np.uint8), np.diff(bounds)
-    tree = jaccard_join.RTree(points, n, (counts - points).sum(axis=1))
+    points, n = np.array([jaccard_join.point(s, 128)[0] for s in sets]), np.array([len(s) for s in sets])
+    tree = jaccard_join.RTree(points, n, np.array([jaccard_join.point(s, 128)[1] for s in sets]))
     seen = 0
     for k, s in enumerate(sets):
         found = set(tree.search(points[k], int(n[k]), 0).tolist())
@@ -157,13 +192,48 @@ def test_removed_passages_leave_the_other_columns(odd, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two different texts of 2**n characters whose polynomial hashes agree modulo 2**64, whatever the base."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_texts_that_fool_a_power_of_two(spark):
+    x, y = thue_morse(11)
+    rows = [(1, f"{x} a b c d"), (2, f"{y} a b c d"), (3, x + prose(1, 40)), (4, y + prose(2, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == jaccard_brute(rows)
+    got = substring_dedup.cut(docs).select("doc_id", "__n_bytes", "__n_removed", "__n_spans", "__kept_sha256").collect()
+    assert sorted(repr(tuple(r)) for r in got) == cut_brute(rows)
+
+
+def test_hashes_are_modulo_the_prime():
+    from loomgraph.llm.shared import BASE, PRIME, prefix_hash, span_hash, times
+
+    r = np.random.default_rng(8)
+    a, b = (np.concatenate([r.integers(0, PRIME, 500, dtype=np.uint64), np.array([0, 1, PRIME - 1], np.uint64)]) for _ in range(2))
+    assert times(a, b).tolist() == [int(x) * int(y) % PRIME for x, y in zip(a, b, strict=True)]
+    codes = r.integers(0, 0x110000, 700).astype(np.uint32)
+    want, total = [0], 0
+    for k, c in enumerate(codes.tolist()):
+        total = (total + (c + 1) * pow(BASE, k, PRIME)) % PRIME
+        want.append(total)
+    assert prefix_hash(codes).tolist() == want
+    again = prefix_hash(np.concatenate([codes[5:], codes]))
+    at = np.arange(5, 600)
+    assert (span_hash(prefix_hash(codes), at, at + 60) == span_hash(again, at - 5, at + 55)).all()
+
+
 def test_suffix_arrays():
     r = random.Random(3)
     for _ in range(400):
         kinds = r.choice((1, 2, 3, 5))
         text = [r.randrange(kinds) for _ in range(r.randint(1, 40))]
         order = induced_sort(text, kinds)
-        assert order == sorted(range(len(text)), key=lambda i: text[i:])
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
         common = common_prefixes(np.array(text), np.array(order), 12)
         for a, b in zip(order, order[1:], strict=False):
             k = 0
