@@ -10,14 +10,16 @@ its context. Equal windows have equal anchors. So:
 3. Where different contexts have one anchor, the distinct ones go, once each, to the anchor's shard. Shards are read in
    chunks of whole anchors: a chunk's suffix array is induced (suffix_array), permuted common prefixes of SPAN or more
    with a neighbour mark the windows that occur again.
-4. An anchor with more than HOT distinct contexts (a passage that very many documents share, at its edges) is split
-   instead, by windows' place relative to the anchor in blocks and by the bytes common to a block's windows (a run with the
-   anchor's gram several times falls into stretches first, so that each window has its place as elsewhere): blocks alone
-   with these bytes are done, blocks in which all agree are settled by their count, and the rest is split again into
-   smaller blocks (BLOCKS), at last windows. The counts begin map-side; no task gets such an anchor whole.
+4. An anchor with more than HOT distinct contexts (a passage that very many documents share, at its edges) is split into
+   shards first, by windows' place relative to the anchor in blocks and by the bytes common to a block's windows (a run with
+   the anchor's gram several times falls into stretches first, so that each window has its place as elsewhere): blocks alone
+   with these bytes are done, blocks in which all agree are settled by their count, up to HOT that don't agree are a shard
+   with a suffix array as in 3, and more are split again into smaller blocks (BLOCKS), at last windows, which agree. The
+   counts begin map-side; no task gets such an anchor whole.
 
 Removed stretches come back as intervals by document. The texts are shuffled twice (to fetch contexts, to cut); what
-decides is slim rows. Strings are judged on the input, matches never cross documents, and overlaps count.
+decides is slim rows. Strings are judged on the input, matches never cross documents, and overlaps count. Contexts and
+blocks are held equal by 61-bit hashes modulo a prime within one anchor's 64 bits; suffix arrays compare bytes.
 
 Cases: null text is empty. Texts under SPAN bytes keep all. Rows that repeat contain each other's strings, so both lose
 what is SPAN bytes long or more. A text made of one repeated string is one run. Extra columns play no part; an empty table
@@ -38,7 +40,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 48
 HOT, BLOCKS = 4000, (64, 16, 4, 1)
-#: Bytes of contexts that share a suffix array (an anchor's are never parted).
+#: Bytes of contexts that share a suffix array (a shard's are never parted).
 CHUNK = 300_000
 RUN = "anchor long, ctx long, k1 long, k2 long, start long, windows int, lead int, again boolean"
 
@@ -147,32 +149,29 @@ def _stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shard(it):
-    """Intervals of windows of each context that occur again; rows come sorted by anchor, one row a context counts."""
-    held: list[tuple[int, int, bytes]] = []
+    """Intervals of windows of each context that occur again; rows come sorted by shard, one row a context's stretch counts."""
+    held: list[tuple] = []
 
     def judged(items):
-        seen, own = set(), []
-        for anchor, ctx, body in items:
-            if (anchor, ctx) not in seen:
-                seen.add((anchor, ctx))
-                own.append((anchor, ctx, body))
+        own = list({row[1:4]: row for row in items}.values())
         out = []
-        for (anchor, ctx, _), mask in zip(own, repeated([b for *_, b in own]), strict=True):
+        for (_, anchor, ctx, first, _), mask in zip(own, repeated([row[4] for row in own]), strict=True):
             for a, b in zip(*_stretches(mask), strict=True):
-                out.append((anchor, ctx, a, b))
+                out.append((anchor, ctx, first + a, first + b))
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "ctx", "first", "last"])
 
     size = 0
     for batch in it:
-        for anchor, ctx, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size > CHUNK and held[-1][0] != anchor:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size > CHUNK and held[-1][0] != row[0]:
                 yield judged(held)
                 held, size = [], 0
-            held.append((anchor, ctx, body))
-            size += len(body)
+            held.append(row)
+            size += len(row[4])
     if held:
         yield judged(held)
+    pa.default_memory_pool().release_unused()
 
 
 PART = "key long, same long, n long, anchor long, ctx long, again boolean, first int, place int, windows int, body binary"
@@ -209,22 +208,23 @@ def _blocks(it, size: int):
 
 
 def _split(bodies: DataFrame) -> list[DataFrame]:
-    """Intervals of windows that occur again, for anchors with very many contexts: a table for each size of blocks."""
+    """For anchors with very many contexts, a table for each size of blocks: those that agree (alike), and small shards of those that don't."""
     columns = ["anchor", "ctx", "n", "again", "first", "place", "windows", "body"]
     rest = bodies.withColumn("first", F.lit(0)).withColumn("place", -F.col("lead")).select(*columns)
     found = []
     for size in BLOCKS:
         blocks = materialize(rest.mapInArrow(lambda it, size=size: _blocks(it, size), PART))
-        keys = blocks.groupBy("key").agg(F.sum("n").alias("total"), (F.min("same") == F.max("same")).alias("alike")).where("total > 1").select("key", "alike")
-        judged = materialize(blocks.join(keys, "key"))
+        keys = blocks.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"), (F.min("same") == F.max("same")).alias("alike")).where("total > 1")
+        judged = materialize(blocks.join(keys.select("key", "alike", (F.col("rows") <= HOT).alias("few")), "key"))
         discard(blocks)
         found.append(judged)
-        rest = judged.where("not alike").select(*columns)
+        rest = judged.where("not alike and not few").select(*columns)
     return found
 
 
 def intervals(docs: DataFrame) -> DataFrame:
     """(k1, k2, spans): for each document row with something to remove, the byte intervals, which may overlap."""
+    arrow_batches(docs.sparkSession)
     text = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
     found = text.where(F.octet_length("text") >= SPAN).mapInArrow(_runs, RUN)
     often = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor"))
@@ -241,9 +241,12 @@ def intervals(docs: DataFrame) -> DataFrame:
         text.join(wanted, ["k1", "k2"]).select("wanted", "text").mapInArrow(_bodies, "anchor long, ctx long, n long, kinds long, again boolean, lead int, windows int, body binary")
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = bodies.where(F.col("kinds") <= HOT).select("anchor", "ctx", "body").repartition(n_parts, "anchor").sortWithinPartitions("anchor", "ctx")
+    shards = bodies.where(F.col("kinds") <= HOT).select(F.col("anchor").alias("shard"), "anchor", "ctx", F.lit(0).alias("first"), "body")
     split = _split(bodies.where(F.col("kinds") > HOT))
-    windows = small.mapInArrow(_shard, "anchor long, ctx long, first long, last long")
+    for judged in split:
+        shards = shards.unionByName(judged.where("not alike and few").select(F.col("key").alias("shard"), "anchor", "ctx", "first", "body"))
+    shards = shards.repartition(n_parts, "shard").sortWithinPartitions("shard", "anchor", "ctx", "first")
+    windows = shards.mapInArrow(_shard, "anchor long, ctx long, first long, last long")
     for judged in split:
         stretch = judged.where("alike").select("anchor", "ctx", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("windows")).cast("long").alias("last"))
         windows = windows.unionByName(stretch)

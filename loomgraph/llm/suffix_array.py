@@ -1,11 +1,11 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy."""
+"""Suffix arrays by recursive induced sorting, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which the reduced text is sorted by inducing too; with more of them, buckets are too small to go one by one.
-KINDS = 1024
+#: Suffixes a bucket from which inducing goes bucket by bucket in numpy; smaller ones are gone through suffix by suffix.
+BULK = 64
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -72,19 +72,29 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, counts: np.n
     return out
 
 
-def _double(names: np.ndarray) -> np.ndarray:
-    """The suffix array of names by ranks of prefixes of doubled length."""
-    n, k, rank = len(names), 1, names.astype(np.int64)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-k] = rank[k:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
-        k *= 2
+def _induce_singly(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The same as _induce, suffix by suffix: for texts of many kinds, whose buckets hold few."""
+    t, is_small, n = text.tolist(), small.tolist(), len(text)
+    ends = np.cumsum(counts)
+    head, tail, out = (ends - counts).tolist(), ends.tolist(), [-1] * n
+    for i in reversed(seeds.tolist()):
+        tail[t[i]] -= 1
+        out[tail[t[i]]] = i
+    out[head[t[-1]]] = n - 1
+    head[t[-1]] += 1
+    for i in out:  # grows as it is read
+        if i > 0 and not is_small[i - 1]:
+            c = t[i - 1]
+            out[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        i = out[k]
+        if i > 0 and is_small[i - 1]:
+            c = t[i - 1]
+            tail[c] -= 1
+            out[tail[c]] = i - 1
+    return np.array(out, np.int64)
 
 
 def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
@@ -100,7 +110,8 @@ def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
     small = _types(text)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     counts = np.bincount(text, minlength=kinds)
-    order = _induce(text, small, left, counts)
+    induce = _induce if n >= BULK * np.count_nonzero(counts) else _induce_singly
+    order = induce(text, small, left, counts)
     if not len(left):
         return order
     place = np.full(n, -1, np.int64)
@@ -124,8 +135,8 @@ def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
         ranked = np.empty(len(left), np.int64)
         ranked[names] = left
     else:
-        ranked = left[induced_sort(names, number) if number <= KINDS else _double(names)]
-    return _induce(text, small, ranked, counts)
+        ranked = left[induced_sort(names, number)]
+    return induce(text, small, ranked, counts)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:

@@ -166,7 +166,7 @@ def cut_brute(rows, size=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [256, 3, 1])
 def test_substrings(odd, odd_rows, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     got = substring_dedup.cut(odd).select("doc_id", "__n_bytes", "__n_removed", "__n_spans", "__kept_sha256").collect()
@@ -227,11 +227,15 @@ def test_hashes_are_modulo_the_prime():
     assert (span_hash(prefix_hash(codes), at, at + 60) == span_hash(again, at - 5, at + 55)).all()
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("bulk", [0, 2, 64])
+def test_suffix_arrays(monkeypatch, bulk):
+    from loomgraph.llm import suffix_array
+
+    monkeypatch.setattr(suffix_array, "BULK", bulk)
     r = random.Random(3)
-    for _ in range(400):
-        kinds = r.choice((1, 2, 3, 5))
-        text = [r.randrange(kinds) for _ in range(r.randint(1, 40))]
+    for _ in range(300):
+        kinds = r.choice((1, 2, 3, 5, 30))
+        text = [r.randrange(kinds) for _ in range(r.randint(1, 90))]
         order = induced_sort(text, kinds)
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
         common = common_prefixes(np.array(text), np.array(order), 12)
