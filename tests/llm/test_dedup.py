@@ -29,17 +29,45 @@ def test_exact(odd, odd_rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     kept = exact_dedup.keep_first(odd)
     assert kept.columns == odd.columns
-    assert collections.Counter(spaceless(r["text"]) for r in kept.collect()).keys() == groups.keys()
+    assert collections.Counter(spaceless(r["text"]) for r in kept.collect()) == dict.fromkeys(groups, 1)
 
 
-def test_directory_doubles_until_no_bucket_is_overfull(spark):
+def test_hot_texts_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 4)
+    rows = [(k % 7, "hot text" + " " * (k % 3)) for k in range(40)] + [(50, "other")] * 3 + [(None, "no id")] * 2 + [(None, "no  id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs, capacity=1).collect()
+    assert len(got) == len(rows) and {(r["group_size"], r["keep_id"]) for r in got} == {(40, 0), (3, 50), (3, None)}
+    kept = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in exact_dedup.keep_first(docs).collect())
+    assert [x[1] for x in kept] == [0, 50, None] and spaceless(kept[0][2]) == "hottext"
+
+
+def test_colliding_keys_share_a_chain(odd, odd_rows, monkeypatch):
     from pyspark.sql import functions as F
 
-    keys = spark.range(4000).select(F.xxhash64("id").alias("key"))
-    cells = exact_dedup.directory(keys, capacity=100, max_depth=10)
-    sizes = keys.withColumn("cell", exact_dedup._cell(F.col("key"), 10)).join(cells, "cell").groupBy("bucket", "depth").count().collect()
-    assert len({r["bucket"] for r in sizes}) == len(sizes) and max(r["count"] for r in sizes) <= 110
-    assert {r["depth"] for r in sizes} <= {5, 6, 7} and sum(r["count"] for r in sizes) == 4000
+    monkeypatch.setattr(exact_dedup, "_key", lambda: F.length("norm").cast("long") % 3)
+    got = exact_dedup.exact_dedup(odd).collect()
+    distinct = {spaceless(t) for _, t in odd_rows}
+    assert len(got) == len(odd_rows) and len({r["key"] for r in got}) == 3
+    assert {(r["key"], r["place"]) for r in got} == {(k, p) for k in range(3) for p in range(1, 1 + sum(len(t) % 3 == k for t in distinct))}
+    size = collections.Counter(spaceless(t) for _, t in odd_rows)
+    assert sorted(r["group_size"] for r in got) == sorted(size[spaceless(t)] for _, t in odd_rows)
+
+
+def test_directory_doubles_until_no_bucket_is_overfull():
+    r = random.Random(1)
+    for spread in (1, 40):
+        sizes = collections.Counter(r.randrange(1 << exact_dedup.MAX_DEPTH) // spread for _ in range(4000))
+        depth, buckets = exact_dedup.directory(sizes, 100)
+        assert sum(n for *_, n in buckets) == 4000 and depth == max(bits for _, bits, _ in buckets)
+        starts = [prefix << (exact_dedup.MAX_DEPTH - bits) for prefix, bits, _ in buckets]
+        assert starts == sorted(set(starts)) and starts[0] == 0
+        for prefix, bits, n in buckets:
+            width = 1 << (exact_dedup.MAX_DEPTH - bits)
+            own = sum(v for c, v in sizes.items() if prefix * width <= c < (prefix + 1) * width)
+            assert own == n and (n <= 100 or bits == exact_dedup.MAX_DEPTH)
+            if bits:  # its parent was overfull
+                assert sum(v for c, v in sizes.items() if c // (2 * width) == prefix // 2) > 100
 
 
 def shingles(text):
