@@ -3,18 +3,20 @@
 A word (a run of ASCII letters and non-ASCII bytes, A-Z lower-cased) is the sum of the embeddings of its hash and of its
 first 3, 4, 5 and 6 bytes' hashes. FILTERS filters of each width in WIDTHS slide over a document's words; the largest
 response of each over the whole text goes through a rectifier to a logistic output. Trained on the driver by Adagrad over
-a bounded sample: of the labelled rows, at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean ones of at most SAMPLE_CHARS
-characters, the first by the hash of doc_id. A fifth of the sample (again by hash) trains nothing: on it the output is
-scaled (temperature and the sampling's prior). Scoring runs over every whole text. Each language's threshold is set on all
-labelled documents outside the fitting part, of any length, from counts of scores by language, bin and label. Where the
-sample is too small to hold a fifth back (40 rows, both classes), the rows that it was fitted to calibrate too.
+a bounded sample: of the labelled documents of at most SAMPLE_CHARS characters, at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN
+clean ones, the first by the hash of doc_id. A fifth of the sample (again by hash) trains nothing: on it the output is
+calibrated, so that a score of LIMIT stands where the F1 measure of the toxic class is highest, and its steepness fits the
+rows. Scoring runs over every whole text. Each language's threshold is set on all labelled documents outside the fitting
+part, of any length, from counts of scores by language, bin and label. Where the sample is too small to hold a fifth back
+(40 rows, both classes), the rows that it was fitted to calibrate too.
 
 The score's only input is the text. `toxic` is score >= the language's threshold; languages with fewer than MIN_ROWS
 calibration rows of a class have the threshold of all languages together.
 
 Cases: null and empty texts have a score too (that of no words). A very long text is scored whole, in one step. Labels
-that are null, or that stand beside no document, teach nothing; without labels of both classes every score is 0. Rows that
-repeat get equal scores. Extra columns stay as they are; clashing names are the caller's: results replace `score`.
+that are null, or that stand beside no document, teach nothing (of several labels of a document the greatest, of several
+texts of an id one); without labels of both classes every score is 0. Rows that repeat get equal scores. A null doc_id is
+never held out. An empty table gives no rows. Extra columns stay as they are; clashing names are the caller's: results replace `score`.
 """
 
 from __future__ import annotations
@@ -202,6 +204,17 @@ def _cut(counts: dict[tuple[int, int], float]) -> float:
     return float(min(0.95, max(0.05, (high + low) / 2)))
 
 
+def _middle(z: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the gap between outputs from which on the F1 measure of the toxic class is highest."""
+    order = np.argsort(-z, kind="stable")
+    z, y = z[order], y[order]
+    hits = np.concatenate([[0], np.cumsum(y)])
+    f1 = 2 * hits / (np.arange(len(hits)) + max(1, y.sum()))
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    k = int(best[-1])
+    return float((z[max(k - 1, 0)] + z[min(k, len(z) - 1)]) / 2)
+
+
 def _teaching(labels: DataFrame, learn: Column | None) -> DataFrame:
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     return rows if learn is None else rows.where(learn)
@@ -210,11 +223,13 @@ def _teaching(labels: DataFrame, learn: Column | None) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model | None:
     """learn: which label rows may teach (a condition on doc_id). None without labels of both classes."""
     rows = _teaching(labels, learn)
-    picked = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = picked[0].unionByName(picked[1])
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS)
-    got = text.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).collect()  # bounded by `sample`
+    arrow_batches(docs.sparkSession)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    known = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(text.select("doc_id"), "doc_id", "left_semi")
+    picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    sample = materialize(picked[0].unionByName(picked[1]))  # SAMPLE_TOXIC + SAMPLE_CLEAN ids at most
+    got = text.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    discard(sample)
     y = np.array([r["toxic"] for r in got], np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -226,12 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mo
         held_fit = held
     m = _fit([t for t, h in zip(texts, held_fit, strict=True) if not h], y[~held_fit])
     z, yh = _score_texts(m, [t for t, h in zip(texts, held, strict=True) if h], True), y[held]
-    # fitting weighed both classes alike; the rows as they come don't
-    m.prior = float(np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)))
-    share = np.where(yh == 1, counts.get(1, 1) / max(1, yh.sum()), counts.get(0, 1) / max(1, (1 - yh).sum()))
-    share = share / share.sum()
-    loss = lambda s: float((share * np.logaddexp(0, -(2 * yh - 1) * (z * s + m.prior))).sum())
-    m.scale = min((float(s) for s in np.geomspace(0.25, 8, 26)), key=loss)
+    middle, share = _middle(z, yh), np.where(yh == 1, 0.5 / max(1, yh.sum()), 0.5 / max(1, (1 - yh).sum()))
+    base = float(np.log(LIMIT / (1 - LIMIT)))
+    loss = lambda s: float((share * np.logaddexp(0, -(2 * yh - 1) * ((z - middle) * s + base))).sum())
+    m.scale = min((float(s) for s in np.geomspace(0.1, 8, 32)), key=loss)
+    m.prior = base - m.scale * middle
     if held_fit.any():
         m.fitted = sorted({r["doc_id"] for r, h in zip(got, held_fit, strict=True) if not h})
     return m
@@ -308,4 +322,4 @@ def fold(doc_id: Column) -> Column:
 def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs.select("doc_id", "text"), train(docs, labels, fold(F.col("doc_id")) != 1))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))

@@ -139,6 +139,18 @@ def test_thresholds_come_from_all_labels(spark, monkeypatch):
     assert np.mean([r["toxic"] == (r["doc_id"] % 2 == 1) for r in got]) > 0.9
 
 
+@pytest.mark.parametrize(("sf", "recall", "precision"), [("sf0.1", 0.9, 0.9), ("sf0.01", 0.6, 0.7)])
+def test_recall_on_rows_never_learned_from(spark, sf, recall, precision):
+    folder = f"/root/testdata/{sf}"
+    got = toxicity.op7_toxicity_cnn(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    rows = got.where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    hits = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert hits >= recall * sum(r["toxic"] for r in rows) and hits >= precision * sum(r["predicted"] for r in rows)
+    ids = spark.createDataFrame([(5, "awful"), (None, "awful"), (5, "x")], "doc_id long, text string")
+    assert [r["h"] for r in ids.select(F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("h")).collect()][1] is False
+
+
 def test_scores_do_not_hang_on_batches():
     m = toxicity._fit(["one two awful", "three four", "awful six", "seven"] * 10, np.array([1, 0, 1, 0] * 10, np.float32))
     texts = [b"", b"one awful", b"a b c d", b"four", "é awful ñ".encode()]
