@@ -80,7 +80,9 @@ def _dealt(spark: SparkSession, keys: DataFrame, capacity: int, owners: int) ->
         # a bucket that is more than one owner's share is dealt by its cells
         rows += [(cell, bucket, min(owners - 1, owners * (up_to + part[k]) // max(1, total))) for k, (cell, bucket) in enumerate(own)]
         up_to += n
-    return spark.createDataFrame(rows, "cell int, bucket int, owner int")
+    # every cell is there, in order: the directory as one literal, which needs no Python on the executors
+    listed = spark.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(" ".join(f"{bucket}:{owner}" for _, bucket, owner in rows)), " ")).alias("cell", "to"))
+    return listed.select("cell", *(F.split("to", ":")[k].cast("int").alias(c) for k, c in enumerate(("bucket", "owner"))))
 
 
 def index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:

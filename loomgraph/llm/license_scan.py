@@ -39,8 +39,8 @@ def _whole(form: Column) -> Column:
 
 def known_digests(spark: SparkSession, known=KNOWN, digests=DIGESTS) -> DataFrame:
     """digest, license: of each known text, and those given as digests."""
-    rows = spark.createDataFrame([(i, t) for i, _, t in known], "license string, text string")
-    given = spark.createDataFrame(digests, "license string, digest string").select("digest", "license")
+    listed = lambda pairs, names: spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(*(F.lit(x).alias(n) for x, n in zip(p, names, strict=True))) for p in pairs])))
+    rows, given = listed([(i, t) for i, _, t in known], ("license", "text")), listed([(d, i) for i, d in digests], ("digest", "license"))
     return rows.select(F.sha2(_whole(canonical(F.col("text"))), 256).alias("digest"), "license").unionByName(given).distinct()
 
 

@@ -39,7 +39,7 @@ from .shared import arrow_batches, batches, column_bytes, discard, materialize,
 from .suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 48
-HOT, BLOCKS = 4000, (64, 16, 4, 1)
+HOT, BLOCKS = 1000, (64, 16, 4, 1)
 #: Bytes of contexts that share a suffix array (a shard's are never parted).
 CHUNK = 300_000
 RUN = "anchor long, ctx long, k1 long, k2 long, start long, windows int, lead int, again boolean"
@@ -127,10 +127,10 @@ def _bodies(it):
 
 def repeated(bodies: list[bytes]) -> list[np.ndarray]:
     """For each body, which of its windows occur again in the bodies, by their suffix array."""
-    data = np.zeros(sum(len(b) + 1 for b in bodies), np.int64)
+    data = np.zeros(sum(len(b) + 1 for b in bodies), np.int32)
     at = 0
     for b in bodies:
-        data[at : at + len(b)] = np.frombuffer(b, np.uint8).astype(np.int64) + 1  # 0 ends a body
+        data[at : at + len(b)] = np.frombuffer(b, np.uint8).astype(np.int32) + 1  # 0 ends a body
         at += len(b) + 1
     order = suffix_array(data)
     common = common_prefixes(data, order, SPAN)

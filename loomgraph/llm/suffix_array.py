@@ -23,7 +23,7 @@ def _types(text: np.ndarray) -> np.ndarray:
 
 def _slots(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A stable order by kind, the place of each in its kind, the kinds, and how many each has."""
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind, kind="stable").astype(np.int32)
     kinds, first, count = np.unique(kind[order], return_index=True, return_counts=True)
     return order, np.arange(len(kind)) - np.repeat(first, count), kinds, count
 
@@ -37,7 +37,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, counts: np.n
     n = len(text)
     end = np.cumsum(counts)
     start = end - counts
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, np.int32)
     order, rank, kinds, count = _slots(text[seeds])
     seed_from = end.copy()
     seed_from[kinds] -= count
@@ -94,7 +94,7 @@ def _induce_singly(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, count
             c = t[i - 1]
             tail[c] -= 1
             out[tail[c]] = i - 1
-    return np.array(out, np.int64)
+    return np.array(out, np.int32)
 
 
 def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
@@ -103,10 +103,10 @@ def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
     A suffix is smaller (S) if it precedes the next one, else larger (L); leftmost-smaller positions are those S after L.
     Their substrings are sorted by inducing, then named; where names repeat, the text of names is sorted first.
     """
-    text = np.asarray(text, np.int64)
+    text = np.asarray(text, np.int32)  # a shard has far fewer than 2**31 bytes
     n = len(text)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
     small = _types(text)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     counts = np.bincount(text, minlength=kinds)
@@ -114,7 +114,7 @@ def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
     order = induce(text, small, left, counts)
     if not len(left):
         return order
-    place = np.full(n, -1, np.int64)
+    place = np.full(n, -1, np.int32)
     place[left] = np.arange(len(left))
     found = order[place[order] >= 0]
     # a leftmost-smaller substring reaches to the next such position; the last one, to the end, is like no other
@@ -128,11 +128,11 @@ def induced_sort(text: np.ndarray, kinds: int) -> np.ndarray:
         k += 1
         live = live[equal]
         live = live[k < size[place[a[live]]]]
-    names = np.zeros(len(left), np.int64)
+    names = np.zeros(len(left), np.int32)
     names[place[found]] = np.concatenate([[0], np.cumsum(~same)])
     number = int(names.max()) + 1
     if number == len(left):
-        ranked = np.empty(len(left), np.int64)
+        ranked = np.empty(len(left), np.int32)
         ranked[names] = left
     else:
         ranked = left[induced_sort(names, number)]
@@ -151,14 +151,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     their predecessors' left neighbours) are compared; the rest follow.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     padded = np.concatenate([data.astype(np.int32), np.full(8, -1, np.int32)])
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     start = (before < 0) | (at == 0) | (before == 0)
     inner = ~start
     start[inner] = data[at[inner] - 1] != data[before[inner] - 1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     live = np.flatnonzero(start & (before >= 0))
     done = 0
     while len(live):  # eight characters at a time; their sum over irreducible positions is at most n log n

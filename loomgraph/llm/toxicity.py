@@ -258,7 +258,8 @@ def calibrate(m: Model, docs: DataFrame, labels: DataFrame, learn: Column | None
     # texts stay where they are: scores are joined to labels, not texts
     slim = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text"), m)
     slim = slim.select("doc_id", "lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    fitted = spark.createDataFrame([(i,) for i in m.fitted], "doc_id long").withColumn("fitted", F.lit(True))  # bounded by the sample
+    ids = F.explode(F.split(F.lit(" ".join(map(str, m.fitted)) or "-"), " "))  # bounded by the sample
+    fitted = spark.range(1, numPartitions=1).select(ids.alias("id")).select(F.col("id").try_cast("long").alias("doc_id"), F.lit(True).alias("fitted"))
     slim = slim.join(rows, "doc_id").join(F.broadcast(fitted), "doc_id", "left").withColumn("fitted", F.col("fitted").isNotNull())
     counts = materialize(slim.groupBy("lang", "bin", "toxic", "fitted").agg(F.count(F.lit(1)).alias("n")))
     every = counts.groupBy("bin", "toxic", "fitted").agg(F.sum("n").alias("n")).collect()  # 4 * BINS rows at most
