@@ -10,13 +10,15 @@ Character references are decoded as HTML5 does; white space inside a block becom
 Comments, scripts, styles, templates and form controls' values have no blocks.
 
 Cases: null or empty html, or a page without main blocks: text '' and n_chars 0. Unclosed tags, comments and scripts end
-with the page. Plain text without tags is one block. Rows that repeat give rows that repeat; extra columns play no part.
+with the page. Plain text without tags is one block. Of very deep pages the innermost PATH ancestors make features. Rows that
+repeat give rows that repeat; extra columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_pages import labelled_pages
-from .shared import table
+from .shared import arrow_batches, table
 
 TRAIN_PAGES, EPOCHS, RATE, DECAY = 700, 6, 0.3, 1e-4
 
+#: Ancestors (the innermost) that make a block's features, so that deep pages stay linear.
+PATH = 32
+#: Attributes of a tag: a quoted value behind "=" may hold ">"; a quote that is never closed is like any other character.
+ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe)\b{ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -57,20 +63,25 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
     inline: list[tuple[str, ...]] = []
     links = [0, 0]  # open <a>, characters inside
     held: list[tuple] = []
+    opened: Counter[str] = Counter()
+
+    def close(k: int):
+        opened.subtract(key[0] for key in stack[k:])
+        del stack[k:]
 
     def flush():
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append((text, tuple(held or stack), min(links[1], len(text))))
+                out.append((text, tuple(held or stack[-PATH:]), min(links[1], len(text))))
             held.clear()
         links[1] = 0
 
     def pop(tag: str) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
             if stack[k][0] == tag:
-                del stack[k:]
+                close(k)
                 return True
             if stack[k][0] in ("table", "article", "body") and tag in ("p", "li", "td", "tr"):
                 return False
@@ -82,7 +93,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             if "&" in chunk:
                 chunk = entities.unescape(chunk)
             if not parts and chunk.strip():
-                held[:] = stack + inline
+                held[:] = stack[-PATH:] + inline[-PATH:]
             if parts or chunk.strip():
                 parts.append(chunk)
                 if links[0]:
@@ -114,12 +125,13 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
                 links[0] = 0
         else:
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                close(-1)
             for open_tag in ENDS.get(tag, ()):
                 if stack and stack[-1][0] == open_tag:
-                    stack.pop()
+                    close(-1)
             if tag not in VOID:
                 stack.append(_path_key(tag, m[4]))
+                opened[tag] += 1
     text_at(at, len(page))
     flush()
     return out
@@ -249,6 +261,7 @@ def main_text(page: str | None, crf: Crf) -> str:
 
 
 def html_extract(pages: DataFrame) -> DataFrame:
+    arrow_batches(pages.sparkSession)
     crf = model()  # a few thousand weights
 
     @F.pandas_udf("string")

@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding with the n best segmentations of each whole text.
 
-The lattice of a text has an edge for each piece that matches at a place, with the model's score, and for a character
-outside the vocabulary one edge of byte pieces (score: the least piece score less 10). Forward Viterbi gives each node
-the best score of a path up to it; backward A* from the end then uses these as exact heuristics, so hypotheses leave the
-agenda in the order of their full scores (ties: in the order they were found).
+The lattice of a text has an edge for each piece that matches at a place, with the piece's log-probability, and for a
+character outside the vocabulary one edge of byte pieces (the least log-probability less 10). The model file's scores are
+ranks of merges, not probabilities, and a sum of ranks would prefer many short pieces; so a piece of rank r is taken to
+have a probability in proportion to 1 / (r + FLATTER), by Zipf's law. Forward Viterbi gives each node the best score of a
+path up to it; backward A* from the end then uses these as exact heuristics, so hypotheses leave the agenda in the order of
+their full scores (ties: the one nearest to the text's start; so one of many equal paths is finished first). No node is
+gone on from oftener than n times, as a later visit can't be part of one of the n best.
 
 Texts are long but pieces are not: none has a space mark behind another character, and characters that no longer piece
 holds stand alone. So a lattice is a chain of units with a node between every two. Each distinct unit's forward and
@@ -12,7 +15,8 @@ loss of its second-best. Of a text, only the units with the n - 1 smallest losse
 best texts, so only these get an A* search (kept for units that come again); their paths are merged best first.
 
 Cases: null text is empty: one segmentation without pieces, score 0. A single unit of any length (a text without spaces)
-is searched as it is. Rows that repeat give rows that repeat. Decoding restores the text exactly: `decoded` tells of it.
+is searched as it is. Rows that repeat give rows that repeat, an empty table none; extra columns play no part. Decoding
+restores the text exactly: `decoded` tells of it.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import arrow_batches, prefix_hash, span_hash, table
 
 N_BEST = 4
+#: Added to ranks: the commonest pieces are not as far apart as 1 / r.
+FLATTER = 10
 SPACE = "▁"
 #: Units of more characters are searched one by one.
 TOGETHER = 48
@@ -57,8 +63,12 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.score[p], self.id[p] = float(sp.get_score(i)), i
                 self.text[i] = p.replace(SPACE, " ").encode()
+        # by rank; pieces that no merge makes (scores of -1e9 or so) come last
+        ranks = np.arange(len(self.score)) + FLATTER
+        total = np.log((1 / ranks).sum())
+        self.score = {p: float(-np.log(r) - total) for p, r in zip(sorted(self.score, key=lambda p: (-self.score[p], self.id[p])), ranks, strict=True)}
         self.longest = max(map(len, self.score))
-        self.unknown = min(s for s in self.score.values() if s > -1e8) - 10
+        self.unknown = min(self.score.values()) - 10
         # characters that longer pieces hold; the rest stand alone
         assert not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.joined = np.zeros(0x110000, bool)
@@ -107,9 +117,12 @@ class Pieces:
         if (held := self.found.get(unit)) is not None and held[0] >= n:
             return held[1][:n]
         h, tie, out = self.forward(unit), count(), []
-        agenda = [(-h[len(unit)], next(tie), len(unit), 0.0, None)]
+        agenda, visits = [(-h[len(unit)], len(unit), next(tie), 0.0, None)], [0] * (len(unit) + 1)
         while agenda and len(out) < n:
-            f, _, at, g, cuts = heapq.heappop(agenda)
+            f, at, _, g, cuts = heapq.heappop(agenda)
+            visits[at] += 1
+            if visits[at] > n:
+                continue
             if not at:
                 path, c = [], cuts
                 while c is not None:
@@ -118,7 +131,7 @@ class Pieces:
                 out.append((-f, tuple(path[1:])))
                 continue
             for start, s in self.edges(unit, at):
-                heapq.heappush(agenda, (-(h[start] + s + g), next(tie), start, g + s, (start, cuts)))
+                heapq.heappush(agenda, (round(-(h[start] + s + g), 9), start, next(tie), g + s, (start, cuts)))
         if len(self.found) > 100_000:
             self.found.clear()
         self.found[unit] = n, out
@@ -289,6 +302,7 @@ def _sha(ids: np.ndarray) -> str:
 def encode_n_best(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
     """A row of SCHEMA for each document: digests of the best and second-best ids (little-endian unsigned 32-bit), scores of the n best."""
     path = path or model_path()
+    arrow_batches(docs.sparkSession)
 
     def rows(it):
         pieces = pieces_of(path)

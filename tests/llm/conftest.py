@@ -15,6 +15,14 @@ def edited(text: str, seed: int, share: float) -> str:
     return " ".join(w if r.random() > share else w + "q" for w in text.split(" "))
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two different texts of 2**n characters whose polynomial hashes agree modulo 2**64, whatever the base."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
 @pytest.fixture(scope="session")
 def odd_rows():
     """(doc_id, text): nulls, empty and long texts, copies, near copies, shared passages, repeated rows, odd characters."""

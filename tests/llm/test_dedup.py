@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from tests.llm.conftest import edited, prose
+from tests.llm.conftest import edited, prose, thue_morse
 
 from loomgraph.llm import components, exact_dedup, jaccard_join, substring_dedup
 from loomgraph.llm.suffix_array import common_prefixes, induced_sort
@@ -220,14 +220,6 @@ def test_removed_passages_leave_the_other_columns(odd, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def thue_morse(n, a="a", b="b"):
-    """Two different texts of 2**n characters whose polynomial hashes agree modulo 2**64, whatever the base."""
-    x, y = a, b
-    for _ in range(n):
-        x, y = x + y, y + x
-    return x, y
-
-
 def test_texts_that_fool_a_power_of_two(spark):
     x, y = thue_morse(11)
     rows = [(1, f"{x} a b c d"), (2, f"{y} a b c d"), (3, x + prose(1, 40)), (4, y + prose(2, 40))]

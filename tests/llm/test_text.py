@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, thue_morse
 
 from loomgraph.llm import fingerprints, html_extract, license_scan, license_texts, nbest, packing, toxicity, url_filter
 from loomgraph.llm.html_pages import labelled_pages
@@ -75,7 +75,45 @@ def test_n_best_segmentations(odd, odd_rows, empty):
     assert nbest.encode_n_best(empty).count() == 0
 
 
+def test_best_two_paths_and_long_runs():
+    import time
+
+    pieces = nbest.Pieces(nbest.model_path())
+    of_id = {pieces.id[p]: s for p, s in pieces.score.items()}
+    for text in ("The president of the United States", "aaaaabaaaa ba", "x", prose(3, 30), "漢字 é ß"):
+        ((ids, best, second, same),) = pieces.n_best([text])
+        want = n_best_brute(pieces, text, 2)
+        for got, score in ((ids, want[0]), (second, want[1] if len(want) > 1 else None)):
+            if got is not None and all(int(i) in of_id for i in got):  # pieces, no bytes
+                assert np.isclose(sum(of_id[int(i)] for i in got), score)
+                assert b"".join(pieces.text[int(i)] for i in got) == b" " + text.encode()
+        assert same and len(best) > 1
+    assert len(next(iter(pieces.n_best(["The president of the United States"])))[0]) <= 8
+    for run in ("a", "x", "ab", "ha"):
+        start = time.time()
+        assert len(pieces.search(run * (20_000 // len(run)), 4)) == 4 and time.time() - start < 15
+
+
 # op 6
+def test_likeness_is_the_share_of_the_least_span_hashes():
+    for s, t in ((prose(1, 60), prose(1, 40) + prose(2, 30)), ("short", "shorter"), ("", "x"), (prose(3, 9), prose(3, 9) + "!")):
+        a, b = (fingerprints.PrefixHash(fingerprints.points(x)) for x in (s, t))
+        spans = lambda h, x: {int(h.spans([k], min(fingerprints.WINDOW, h.n))[0]) >> 32 for k in range(max(1, len(x) - fingerprints.WINDOW + 1))}
+        x, y = (sorted(spans(h, v))[: fingerprints.SKETCH] for h, v in ((a, s), (b, t)))
+        assert fingerprints.sketch(a).tolist() == x and fingerprints.sketch(b).tolist() == y
+        union = sorted(set(x) | set(y))
+        union = union[: fingerprints.SKETCH] if max(len(x), len(y)) >= fingerprints.SKETCH else union
+        got = fingerprints.likeness(fingerprints.fingerprint(a, fingerprints.sketch(a)), fingerprints.fingerprint(b, fingerprints.sketch(b)))
+        assert np.isclose(got, len([v for v in union if v in x and v in y]) / len(union))
+
+
+def test_different_texts_have_different_fingerprints():
+    x, y = thue_morse(11)
+    a, b = (fingerprints.PrefixHash(fingerprints.points(t)) for t in (x, y))
+    assert not a.equal(0, b, 0, len(x)) and a.extension(0, b, 0) == 0
+    assert fingerprints.fingerprint(a, fingerprints.sketch(a)) != fingerprints.fingerprint(b, fingerprints.sketch(b))
+
+
 def test_fingerprints(odd, odd_rows, empty, spark):
     rows = sorted(((i, t or "") for i, t in odd_rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
     want = []
@@ -186,6 +224,35 @@ def test_viterbi_is_exact():
         assert np.allclose(crf.marginals(e)[0], marginal)
 
 
+def test_layouts_made_by_hand():
+    """Markup that no rule of html_pages makes: quoted marks, tables for layout, lists of menus, comments."""
+    crf = html_extract.model()
+    main = ["A walk by the river", "The river rose for three days, and then it fell again.", "Nobody in the town remembered such a spring.", "Boats were tied to the trees."]
+    body = f'<h1>{main[0]}</h1><p title="a > b">{main[1]}</p><p data-x=\'1>2\' class="lead">{main[2]}</p><p don\'t>{main[3]}</p>'
+    pages = [
+        f'<html><body><div id="masthead"><a href="/">The Post</a></div><div class="menu"><a href="/a">News</a> <a href="/b">Sport</a></div><div class="story">{body}</div><div class="footer">&copy; 2020 The Post</div></body></html>',
+        f'<body><nav><ol><li><a href=x>Start</a><li><a href=y>More</a></ol></nav><main><article>{body}</article><aside><h3>Related</h3><ul><li><a href=z>Other text</a></li></ul></aside></main><section class="comments"><p>I was there too, and it was as told.</p></section>',
+        f'<table><tr><td class="sidebar"><a href=/>Home</a><a href=/w>Weather</a></td><td class="content">{body}</td></tr></table><div class="cookie-notice">We use cookies. <button>Fine</button></div>',
+    ]
+    right = found = 0
+    for page in pages:
+        got = html_extract.main_text(page, crf).split("\n")
+        assert not any("b\">" in x or "2'" in x for x in got)
+        right += len([x for x in got if x in main])
+        found += len(got)
+    assert right >= 0.9 * 4 * len(pages) and right >= 0.8 * found
+
+
+def test_deep_and_broken_pages():
+    import time
+
+    start = time.time()
+    for page in ("<div>x" * 30_000, "<div class=a>" * 100_000 + "end", "<p title=\"never closed>text</p>" * 2, "</div>" * 100_000 + "text", "<span>y" * 50_000, "<a href='x" + "<p>" * 20_000):
+        found = html_extract.blocks(page)
+        assert len(html_extract.features(found)) == len(found) and all(len(path) <= 2 * html_extract.PATH for _, path, _ in found)
+    assert time.time() - start < 30 and [b[0] for b in html_extract.blocks("<p title=\"never closed>text</p>")] == ["text"]
+
+
 def test_pages(spark):
     page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href=/>Menu</a></li></ul></nav><!-- no --><div class=ad>Buy now.</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>\n\n text.<p>Second&nbsp;one.<br>Next line.</article><footer>&copy; me</footer>"
     rows = [(1, "u", page, 1), (2, None, None, 1), (3, "v", "", 1), (4, "w", "<!-- open", 1), (5, "x", "<p>" + "word " * 50_000, 1), (1, "u", page, 1), (None, "y", "<<<>>&#xZ;", 1)]
