@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_url_filter": url_filter.oracle(),
     "op4_suffix_array_dedup": substring_dedup.ORACLE,
     "op5_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_license_scan": license_scan.oracle(),

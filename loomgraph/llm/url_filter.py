@@ -7,12 +7,13 @@ successors of ctx in that class. All counts are over every page; hot contexts me
 Each gram's log-ratio is worked out once and joined to the characters of the distinct host-and-path strings, so a string
 that many pages share is scored once.
 
-score = (log p_accepted - log p_rejected) / (characters + 1). Calibration: the strings of labelled URLs, weighted so that
-both classes count alike, in CELLS bins of the score; the threshold is the middle between two bins that has the fewest
-weighted errors (ties: nearest to 0). Below it the verdict is block.
+score = (log p_accepted - log p_rejected) / (characters + 1). Calibration: labelled strings that the counts leave out (those
+whose MD5 begins with 0, 1 or 2; if these lack a class, all labelled ones), weighted so that both classes count alike, in
+CELLS bins of the score; the threshold is the middle between two bins that has the fewest weighted errors (ties: nearest to
+0). Below it the verdict is block.
 
 Cases: null url or no `://`: host and path empty, score 0. No labelled URL of one class: the ratio is 0 everywhere and
-the threshold 0, so unruled URLs are allowed. A rule's host fits itself and its subdomains; longest rule (host, then
+the threshold 0, so unruled URLs are allowed. Very long URLs are taken whole. A rule's host fits itself and its subdomains; longest rule (host, then
 path) wins. Extra columns play no part; an empty table gives no rows.
 """
 
@@ -84,14 +85,16 @@ def model(strings: DataFrame) -> DataFrame:
 
 
 def score_strings(strings: DataFrame) -> DataFrame:
-    """s, accepted, rejected, score for each distinct string."""
-    ratios = model(strings)
+    """s, accepted, rejected, held, score for each distinct string; held ones are labelled but not counted."""
+    strings = strings.withColumn("held", (F.col("accepted") + F.col("rejected") > 0) & F.md5(F.col("s").cast("binary")).rlike("^[012]"))
+    counted = lambda c: F.when(F.col("held"), 0).otherwise(F.col(c)).cast("long").alias(c)
+    ratios = model(strings.select("s", counted("accepted"), counted("rejected")))
     scored = _grams(strings, ["s"]).join(ratios, "gram").groupBy("s").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
-    return strings.join(scored, "s", "left").select("s", "accepted", "rejected", F.when(F.col("s") == "", 0.0).otherwise(F.col("score")).alias("score"))
+    return strings.join(scored, "s", "left").select("s", "accepted", "rejected", "held", F.when(F.col("s") == "", 0.0).otherwise(F.col("score")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row (threshold): between two score bins, where the fewest errors are, both classes weighing alike."""
+    """One row (threshold, errors): between two score bins, where the fewest errors are, both classes weighing alike; null without both."""
     half = CELLS // 2
     cell = F.greatest(F.lit(-half), F.least(F.lit(half), F.floor(F.col("score") / WIDTH).cast("int")))
     bins = scored.where("accepted + rejected > 0").groupBy(cell.alias("cell")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))
@@ -102,7 +105,7 @@ def threshold(scored: DataFrame) -> DataFrame:
     middle = F.coalesce((F.lag("cell").over(by_cell) + 1 + F.col("cell")) / F.lit(2.0), F.col("cell").cast("double"))
     edges = bins.select(middle.alias("edge"), F.when(both, share("a") + 1 - share("r")).alias("errors"))
     best = edges.where("errors is not null").agg(F.min(F.struct("errors", F.abs("edge").alias("far"), "edge")).alias("best"))
-    return best.select(F.coalesce(F.col("best.edge") * F.lit(WIDTH), F.lit(0.0)).alias("threshold"))
+    return best.select((F.col("best.edge") * F.lit(WIDTH)).alias("threshold"), F.col("best.errors").alias("errors"))
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -113,7 +116,8 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
         judged.groupBy(s.alias("s")).agg(F.count_if(F.col("rule_verdict") == "allow").alias("accepted"), F.count_if(F.col("rule_verdict") == "block").alias("rejected"))
     )
     scored = materialize(score_strings(strings))
-    limit = threshold(scored).first()["threshold"]  # one number
+    limits = [threshold(scored.where("held")).first()["threshold"], threshold(scored).first()["threshold"], 0.0]  # numbers
+    limit = next(x for x in limits if x is not None)
     return (
         judged.withColumn("s", s)
         .join(scored.select("s", "score"), "s")
@@ -122,4 +126,39 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(table(spark, sf_dir, "pages"))
+    return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def oracle() -> str:
+    """Rules, both models, calibration and verdicts in DuckDB's SQL."""
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    longest = sorted(RULES, key=lambda r: (len(r[0] + r[1]), r[0]), reverse=True)
+    rule, verdict = (" ".join(f"WHEN {fits(h, p)} THEN '{x}'" for h, p, v in longest for x in [(h + p, v)[k]]) for k in (0, 1))
+    rest = "CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END"
+    orders = []
+    for k in range(ORDER + 1):
+        q = f"h.a AS a, h.r AS r, na, nr, ta, tr, {1 / ALPHABET} AS qa, {1 / ALPHABET} AS qr FROM h{k} h" if not k else f"h.a, h.r, na, nr, ta, tr, qa, qr FROM h{k} h JOIN p{k - 1} q ON q.g = substring(h.g, 2, {k})"
+        orders.append(f"""h{k} AS (SELECT substring(gram, {ORDER + 1 - k}, {k + 1}) AS g, sum(a) AS a, sum(r) AS r FROM n GROUP BY 1),
+    c{k} AS (SELECT substring(g, 1, {k}) AS ctx, sum(a) AS na, sum(r) AS nr, count(*) FILTER (WHERE a > 0) AS ta, count(*) FILTER (WHERE r > 0) AS tr FROM h{k} GROUP BY 1),
+    p{k} AS (SELECT g, CASE WHEN na > 0 THEN (a + ta * qa) / (na + ta) ELSE qa END AS qa, CASE WHEN nr > 0 THEN (r + tr * qr) / (nr + tr) ELSE qr END AS qr
+             FROM (SELECT h.g, {q} JOIN c{k} c ON c.ctx = substring(h.g, 1, {k})))""")
+    half = CELLS // 2
+    edges = lambda name, where: f"""b{name} AS (SELECT greatest(-{half}, least({half}, floor(score / {WIDTH})::INTEGER)) AS cell, sum(accepted) AS a, sum(rejected) AS r FROM scored WHERE accepted + rejected > 0 AND {where} GROUP BY 1),
+    e{name} AS (SELECT coalesce((lag(cell) OVER (ORDER BY cell) + 1 + cell) / 2.0::DOUBLE, cell::DOUBLE) AS edge,
+                CASE WHEN sum(a) OVER () > 0 AND sum(r) OVER () > 0 THEN coalesce(sum(a) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(a) OVER () + 1 - coalesce(sum(r) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(r) OVER () END AS errors FROM b{name}),
+    t{name} AS (SELECT (SELECT edge * {WIDTH} FROM e{name} WHERE errors IS NOT NULL ORDER BY errors, abs(edge), edge LIMIT 1) AS threshold)"""
+    return f"""
+    WITH u AS (SELECT page_id, {rest} AS rest FROM pages),
+    d AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    j AS (SELECT *, host || path AS s, CASE {rule} END AS rule, CASE {verdict} END AS ruled FROM d),
+    s AS (SELECT s, count(*) FILTER (WHERE ruled = 'allow') AS accepted, count(*) FILTER (WHERE ruled = 'block') AS rejected FROM j GROUP BY s),
+    l AS (SELECT *, accepted + rejected > 0 AND md5(s)[1] IN ('0', '1', '2') AS held, repeat(chr(2), {ORDER}) || s || chr(3) AS padded FROM s),
+    x AS (SELECT s, CASE WHEN held THEN 0 ELSE accepted END AS a, CASE WHEN held THEN 0 ELSE rejected END AS r, substring(padded, i, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM l)),
+    n AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM x GROUP BY gram),
+    {", ".join(orders)},
+    z AS (SELECT s, sum(ln(qa) - ln(qr)) / count(*) AS score FROM x JOIN p{ORDER} p ON p.g = x.gram GROUP BY s),
+    scored AS (SELECT l.s, accepted, rejected, held, CASE WHEN l.s = '' THEN 0.0 ELSE score END AS score FROM l JOIN z ON z.s = l.s),
+    {edges("h", "held")}, {edges("w", "true")}
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < (SELECT coalesce(th.threshold, tw.threshold, 0.0) FROM th, tw) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM j JOIN scored ON scored.s = j.s
+    """

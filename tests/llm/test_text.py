@@ -51,6 +51,45 @@ def test_url_models_tell_classes_apart(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def url_model_brute(strings):
+    """score of each string; strings: {s: (accepted, rejected)}. Witten-Bell from counts of every context, by dictionaries."""
+    import math
+    from collections import Counter
+
+    held = {s for s, (a, r) in strings.items() if a + r and hashlib.md5(s.encode()).hexdigest()[0] in "012"}
+    pad = lambda s: url_filter.START * url_filter.ORDER + s + url_filter.END
+    counts = [Counter(), Counter()]
+    for s, labels in strings.items():
+        for side in (0, 1) if s not in held else ():
+            for i in range(url_filter.ORDER, len(pad(s))):
+                for k in range(url_filter.ORDER + 1):
+                    counts[side][pad(s)[i - k : i + 1]] += labels[side]
+    after = [{}, {}]
+    for side in (0, 1):
+        for g, n in counts[side].items():
+            if n:
+                total = after[side].setdefault(g[:-1], [0, 0])
+                total[0] += n
+                total[1] += 1
+
+    def p(side, g):
+        q = p(side, g[1:]) if len(g) > 1 else 1 / url_filter.ALPHABET
+        n, kinds = after[side].get(g[:-1], (0, 0))
+        return (counts[side][g] + kinds * q) / (n + kinds) if n else q
+
+    grams = lambda s: [pad(s)[i : i + url_filter.ORDER + 1] for i in range(len(s) + 1)]
+    return {s: sum(math.log(p(0, g)) - math.log(p(1, g)) for g in grams(s)) / (len(s) + 1) if s else 0.0 for s in strings}
+
+
+def test_url_model_against_brute_force(spark):
+    strings = {f"{'good' if k % 3 else 'bad'}{k % 11}.org/{'en' if k % 2 else 'es'}/{k}": (k % 3 > 0, 2 * (k % 3 == 0)) for k in range(60)} | {"unseen.net/ü": (0, 0), "": (1, 0)}
+    rows = [(s, int(a), int(r)) for s, (a, r) in strings.items()]
+    got = url_filter.score_strings(spark.createDataFrame(rows, "s string, accepted long, rejected long")).collect()
+    want = url_model_brute(strings)
+    assert len(got) == len(rows) and all(np.isclose(r["score"], want[r["s"]]) for r in got)
+    assert 0 < sum(r["held"] for r in got) < 30
+
+
 # op 3
 def n_best_brute(pieces, text, n):
     unit = nbest.SPACE + text.replace(" ", nbest.SPACE)
@@ -350,6 +389,12 @@ def test_long_licences(spark):
     assert len(got) == len(rows) and all(r["license"] == want.get(r["doc_id"]) for r in got)
 
 
+def test_each_known_text_holds_a_word():
+    assert all(any(w in canonical(t) for w in license_scan.WORDS) for _, _, t in license_texts.KNOWN)
+    folder = pathlib.Path("/usr/share/common-licenses")
+    assert all(any(w in p.read_text().lower() for w in license_scan.WORDS) for p in folder.glob("*") if p.is_file())
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_licences_of_documents(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
