@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, prefix_hash, span_hash, table
+from .shared import INVERSE, PRIME, arrow_batches, powers, prefix_hash, span_hash, table
 
 WINDOW, SKETCH = 16, 64
 RANGES = 64
@@ -50,8 +50,13 @@ class PrefixHash:
         start = np.atleast_1d(start)
         return span_hash(self.sums, start, start + size)
 
+    def span(self, i: int, size: int) -> int:
+        """Hash of one span: below PRIME, and the same wherever it stands."""
+        x = int(self.sums[i + size]) - int(self.sums[i])
+        return x * int(powers(INVERSE, i + 1)[i]) % PRIME
+
     def equal(self, i: int, other: PrefixHash, j: int, size: int) -> bool:
-        return bool((self.spans(i, size) == other.spans(j, size))[0])
+        return self.span(i, size) == other.span(j, size)
 
     def extension(self, i: int, other: PrefixHash, j: int) -> int:
         """Length of the longest common span from i here and j there."""
@@ -76,7 +81,7 @@ def sketch(h: PrefixHash) -> np.ndarray:
 
 
 def fingerprint(h: PrefixHash, least: np.ndarray) -> str:
-    return f"{int(h.spans(0, h.n)[0]):016x}{h.n:08x}" + least.astype(">u4").tobytes().hex()
+    return f"{h.span(0, h.n):016x}{h.n:08x}" + least.astype(">u4").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:

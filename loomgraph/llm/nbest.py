@@ -38,7 +38,7 @@ FLATTER = 10
 SPACE = "▁"
 #: Units of more characters are searched one by one.
 TOGETHER = 48
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 SCHEMA = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded boolean, n_best long, scores array<double>, second_sha256 string"
 
 

@@ -139,7 +139,9 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo PRIME, grown by doubling."""
-    have = _POWERS.get(base, np.ones(1, np.uint64))
+    have = _POWERS.get(base)
+    if have is None:
+        have = np.ones(1, np.uint64)
     while len(have) < n:
         have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), PRIME)))])
         if len(have) <= KEPT_POWERS:
