@@ -52,8 +52,8 @@ def missing_sources(edges: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def target_coverage(edges: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Listed targets, those with a number, and those that are papers (of any field)."""
-    papers = attributes.select(try_pid(F.col("id")).alias("pid"), F.lit(True).alias("known"))
+    """Listed targets, those with a number, and those that are papers (of any field); a paper that comes twice counts once."""
+    papers = attributes.select(try_pid(F.col("id")).alias("pid"), F.lit(True).alias("known")).distinct()
     listed = edges.select(F.explode(targets()).alias("t")).select(try_pid(F.col("t")).alias("pid"))
     return listed.join(papers, "pid", "left").agg(F.count(F.lit(1)).alias("total_targets"), F.count("pid").alias("parseable"), F.count("known").alias("known_targets"))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+
+PREFIX = "LOOMGRAPH_"
 
 
 @dataclass(frozen=True)
@@ -16,6 +20,13 @@ class Config:
     top_fields: int = 12
     first_rows: int = 15
 
+    @classmethod
+    def read(cls, settings: Mapping[str, str] | None = None) -> Config:
+        """Values from settings (the environment unless given), such as LOOMGRAPH_FIRST_YEAR=1980; others keep their defaults."""
+        settings = os.environ if settings is None else settings
+        given = {f.name: settings[PREFIX + f.name.upper()] for f in fields(cls) if PREFIX + f.name.upper() in settings}
+        return cls(**{name: int(value) for name, value in given.items()})
+
 
 #: For the derived test graph, whose years and counts are small.
 FIXTURE = Config(last_year=2010, min_papers=5)

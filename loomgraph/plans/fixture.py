@@ -6,12 +6,13 @@ records are built first and go through the same ingest as files do.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from ..operators import figures, graph, ingest, metrics
 from .config import FIXTURE, Config
 
@@ -25,6 +26,22 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str, config: Config = FIXTURE):
         self.spark, self.sf_dir, self.config = spark, sf_dir, config
 
+    def release(self) -> None:
+        """Gives back what is persisted; frames made before are worked out anew if they are read."""
+        for frame in vars(self).values():
+            if isinstance(frame, DataFrame):
+                frame.unpersist()
+
+    @cached_property
+    def folder(self) -> str:
+        """A folder of its own for files that queries read, in the shared checkpoint folder."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        return f"{shared.rstrip('/')}/loomgraph-files-{uuid.uuid4().hex}"
+
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -124,9 +141,15 @@ _FIXTURES: dict[tuple[str, str], Fixture] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    """One for each application and folder, so that queries share what is persisted."""
-    return _FIXTURES.setdefault((spark.sparkContext.applicationId, sf_dir), Fixture(spark, sf_dir))
-
+    """One for the application and folder, so that queries share what is persisted; that of another folder is released."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FIXTURES:
+        for (application, _), old in _FIXTURES.items():
+            if application == key[0]:
+                old.release()
+        _FIXTURES.clear()
+        _FIXTURES[key] = Fixture(spark, sf_dir)
+    return _FIXTURES[key]
 
 
 #: The same graph in SQL, as common table expressions.

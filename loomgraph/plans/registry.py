@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import pid
 from ..functions.ratios import percent
 from ..operators import figures, graph, ingest, metrics, validation
+from ..sources import readers, schemas, writers
+from ..streaming.ingest import earlier_available, ingest_available
 from .fixture import SQL, Fixture, fixture
 
 QUERIES: dict[str, Callable] = {}
@@ -164,3 +166,126 @@ _query(
 _query("metric_file_stats", "SELECT count(*) AS n_rows, 0::BIGINT AS bad_rows, sum(n_cited)::BIGINT AS total, min(n_cited) AS least, max(n_cited) AS most FROM nc")(
     lambda x: validation.metric_stats(x.n_cited.select(F.col("id").cast("string").alias("id"), F.col("n_cited").cast("string").alias("n_cited")), "n_cited")
 )
+
+
+# The same checks on tables with faults
+
+
+_query("validate_n_mutual_broken", """, k AS (SELECT * FROM nm WHERE id % 7 <> 0), c AS (SELECT coalesce((SELECT sum(n_mutual) FROM k), 0)::BIGINT AS sum_mutual, (SELECT count(*) FROM pairs) AS n_pairs)
+       SELECT sum_mutual, n_pairs, sum_mutual = 2 * n_pairs AS holds FROM c""")(lambda x: validation.n_mutual_invariant(x.n_mutual.where("id % 7 <> 0"), x.pairs))
+_query(
+    "validate_n_cited_repeats",
+    """, raw AS (SELECT * FROM (SELECT s AS id, count(*) - max((s = t)::INTEGER) AS n FROM ce GROUP BY s) WHERE n > 0),
+       counts AS (SELECT (SELECT count(*) FROM raw) AS stored_rows, (SELECT sum(n) FROM raw)::BIGINT AS stored_sum, (SELECT count(*) FROM nc) AS recounted_rows, (SELECT sum(n_cited) FROM nc)::BIGINT AS recounted_sum)
+       SELECT *, stored_rows = recounted_rows AND stored_sum = recounted_sum AS equal FROM counts""",
+)(lambda x: validation.n_cited_parity(metrics.n_cited(x.clean_edges, distinct=False), x.clean_edges))
+_query(
+    "metric_file_bad_rows",
+    """SELECT count(*) AS n_rows, count(*) FILTER (WHERE id % 5 = 0 OR id % 3 = 0) AS bad_rows, (coalesce(sum(n_cited) FILTER (WHERE id % 5 <> 0 AND id % 3 <> 0), 0))::BIGINT AS total,
+       min(n_cited) FILTER (WHERE id % 5 <> 0 AND id % 3 <> 0) AS least, max(n_cited) FILTER (WHERE id % 5 <> 0 AND id % 3 <> 0) AS most FROM nc""",
+)(lambda x: validation.metric_stats(x.n_cited.selectExpr("if(id % 5 = 0, 'W', '') || id as id", "if(id % 3 = 0, '-', '') || n_cited as n_cited"), "n_cited"))
+_query(
+    "validate_years_null",
+    "SELECT count(*) FILTER (WHERE pid % 13 = 0) AS null_years, count(*) FILTER (WHERE year < 1980 AND pid % 13 <> 0) AS below, count(*) FILTER (WHERE year > 2005 AND pid % 13 <> 0) AS above, "
+    "min(year) FILTER (WHERE pid % 13 <> 0) AS min_year, max(year) FILTER (WHERE pid % 13 <> 0) AS max_year FROM attributes",
+)(lambda x: validation.years(x.attributes.withColumn("year", F.when(pid("id") % 13 != 0, F.col("year"))), 1980, 2005))
+_query(
+    "validate_fields_null",
+    "SELECT count(DISTINCT field) FILTER (WHERE pid % 3 <> 0) AS n_fields, count(*) FILTER (WHERE pid % 3 = 0) AS null_fields, count(*) FILTER (WHERE field = 'Unknown' AND pid % 3 <> 0) AS unknown_fields FROM attributes",
+)(lambda x: validation.fields(x.attributes.withColumn("field", F.when(pid("id") % 3 != 0, F.col("field")))))
+_query(
+    "validation_completeness",
+    "SELECT id AS key, 'missing' AS state FROM attributes WHERE year < 1990 UNION ALL SELECT id, 'stale' FROM attributes WHERE year >= 2000",
+)(lambda x: validation.completeness(x.attributes.where("year < 2000").select(F.col("id").alias("key")), x.attributes.where("year >= 1990").select(F.col("id").alias("key"))))
+
+
+@_query(
+    "validation_ledger",
+    """, d AS (SELECT CASE WHEN pid % 50 <> 0 THEN pid END AS pid, year FROM attributes WHERE year <> 1990)
+       SELECT CASE WHEN count(*) = 10 THEN 'PASS' ELSE 'FAIL' END AS status, 'structural[attributes]' AS label FROM d
+       UNION ALL SELECT CASE WHEN count(*) = count(pid) THEN 'PASS' ELSE 'FAIL' END, 'id parse' FROM d
+       UNION ALL SELECT CASE WHEN count(DISTINCT pid) = count(*) THEN 'PASS' ELSE 'FAIL' END, 'id uniqueness' FROM d
+       UNION ALL SELECT CASE WHEN min(year) >= 1975 AND max(year) <= 2010 THEN 'PASS' ELSE 'FAIL' END, 'year validity' FROM d
+       UNION ALL SELECT CASE WHEN count(DISTINCT year) = 36 THEN 'PASS' ELSE 'WARN' END, 'year coverage' FROM d
+       UNION ALL SELECT CASE WHEN count(*) = count(DISTINCT source) THEN 'PASS' ELSE 'FAIL' END, 'source uniqueness' FROM edges
+       UNION ALL SELECT CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, 'referential(sources)' FROM e WHERE s NOT IN (SELECT pid FROM d WHERE pid IS NOT NULL)
+       UNION ALL SELECT 'INFO', unnest(['field domain', 'total references', 'papers without references', 'target coverage'])""",
+)
+def _(x: Fixture) -> DataFrame:
+    faulty = x.attributes.where("year <> 1990").withColumn("id", F.when(pid("id") % 50 != 0, F.col("id")).otherwise(F.concat(F.lit("Wx"), "id")))
+    return validation.validate(faulty, x.edges, x.config.first_year, x.config.last_year, expect_attributes=10).summary(x.spark).select("status", "label")
+
+
+# Files: written by one side, read by the other
+
+
+@_query("works_json_files", "SELECT id, year, field, author FROM attributes")
+def _(x: Fixture) -> DataFrame:
+    path = f"{x.folder}/works"
+    x.works.write.mode("overwrite").option("compression", "gzip").json(path)
+    return ingest.attributes(readers.works_json(x.spark, path), x.config.first_year, x.config.last_year)
+
+
+@_query("works_stream_files", "SELECT source, targets FROM edges")
+def _(x: Fixture) -> DataFrame:
+    path = f"{x.folder}/stream"
+    x.works.write.mode("overwrite").option("compression", "gzip").json(f"{path}/works")
+    for _ in range(2):  # the second call finds nothing new
+        ingest_available(x.spark, f"{path}/works", f"{path}/out", f"{path}/mark", x.config.first_year, x.config.last_year)
+    return x.spark.read.parquet(f"{path}/out/edges").drop("batch")
+
+
+@_query("works_parquet_files", "SELECT pid AS id, field FROM earlier")
+def _(x: Fixture) -> DataFrame:
+    path = f"{x.folder}/flat"
+    x.works_flat.write.mode("overwrite").parquet(path)
+    return ingest.earlier_fields(readers.works_parquet(x.spark, path), x.config.before_year)
+
+
+@_query("earlier_stream_files", "SELECT pid AS id, field FROM earlier")
+def _(x: Fixture) -> DataFrame:
+    path = f"{x.folder}/earlier"
+    x.works_flat.write.mode("overwrite").parquet(f"{path}/works")
+    for _ in range(2):
+        earlier_available(x.spark, f"{path}/works", f"{path}/out", f"{path}/mark", x.config.before_year)
+    return x.spark.read.parquet(f"{path}/out")
+
+
+@_query("manifest_files", "SELECT DISTINCT 'works/year=' || year || '.gz' AS url FROM attributes")
+def _(x: Fixture) -> DataFrame:
+    path = f"{x.folder}/manifest"
+    urls = x.attributes.select(F.struct(F.concat(F.lit("works/year="), "year", F.lit(".gz")).alias("url")).alias("file")).distinct()
+    urls.agg(F.collect_list("file").alias("files")).write.mode("overwrite").json(path)  # a year each
+    return readers.manifest(x.spark, path)
+
+
+@_query("csv_files", """SELECT id, year::VARCHAR AS year, field, author || ', "' || id || '"' || chr(10) || 'a\\' AS author FROM attributes""")
+def _(x: Fixture) -> DataFrame:
+    """Commas, quotes, line breaks and a backslash at the end come back as they were."""
+    path = f"{x.folder}/csv"
+    awkward = F.concat("author", F.lit(', "'), "id", F.lit('"\na\\'))
+    writers.write_csv(x.attributes.select("id", "year", "field", awkward.alias("author")), path)
+    return readers.csv(x.spark, path, schemas.ATTRIBUTES)
+
+
+@_query("csv_bad_rows", "SELECT source, split_part(targets, ';', 1) AS targets FROM edges WHERE ltrim(source, 'W')::BIGINT % 3 = 0")
+def _(x: Fixture) -> DataFrame:
+    """Rows with a cell too few or too many are dropped."""
+    path = f"{x.folder}/bad"
+    line = F.concat("source", F.element_at(F.array(F.lit(""), F.concat(F.lit(","), F.split_part("targets", F.lit(";"), F.lit(1)))), F.when(pid("source") % 3 == 1, 1).otherwise(2)))
+    line = F.concat(line, F.when(pid("source") % 3 == 2, F.lit(",W1")).otherwise(""))
+    x.edges.select(line.alias("source,targets")).write.mode("overwrite").options(header=True, sep="\t").csv(path)
+    return readers.csv(x.spark, path, schemas.EDGES, skip_bad=True)
+
+
+@_query("table_swapped", "SELECT year, count(*) AS n_papers FROM clean GROUP BY year")
+def _(x: Fixture) -> DataFrame:
+    """A table replaced by itself, after one with a row too few was turned away."""
+    path = f"{x.folder}/per_year"
+    per_year = figures.papers_per_year(x.clean_attributes, x.config.first_year, x.config.last_year)
+    n = writers.write_parquet(per_year, path)
+    try:
+        writers.write_parquet(per_year.limit(0), path, n)
+    except writers.RowCountMismatch:
+        writers.write_parquet(x.spark.read.parquet(path), path, n)
+    return x.spark.read.parquet(path)

@@ -9,30 +9,33 @@ from . import schemas
 
 #: Doubled quotes inside quotes, line breaks inside quotes, no limit on a field's length.
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "maxCharsPerColumn": -1}
-#: For public buckets: no credentials, patient retries.
-ANONYMOUS_S3 = {
-    "spark.hadoop.fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider",
-    "spark.hadoop.fs.s3a.attempts.maximum": "10",
-    "spark.hadoop.fs.s3a.connection.timeout": "60000",
+#: Options of a read from a public bucket: no credentials, patient retries. Hadoop's file system gets them from the reader.
+PUBLIC = {
+    "fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider",
+    "fs.s3a.attempts.maximum": "10",
+    "fs.s3a.connection.timeout": "60000",
 }
 
 
-def works_json(spark: SparkSession, path: str | list[str], suffix: str = "*.gz", max_files: int | None = None) -> DataFrame:
-    """Works as JSON lines under path (searched to the bottom). max_files: the first so many files by name, a whole-file sample."""
-    reader = spark.read.schema(schemas.WORKS).option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
+def works_json(spark: SparkSession, path: str | list[str], suffix: str = "*.gz", max_files: int | None = None, options: dict[str, str] = {}) -> DataFrame:
+    """Works as JSON lines under path (searched to the bottom). max_files: the first so many files by name, a whole-file sample.
+
+    options: of the reader, such as PUBLIC.
+    """
+    reader = spark.read.options(**options).schema(schemas.WORKS).option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
     if max_files is None:
         return reader.json(path)
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path).select("path").orderBy("path").limit(max_files)
+    names = spark.read.options(**options).format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path).select("path").orderBy("path").limit(max_files)
     return reader.json([r["path"] for r in names.collect()])  # at most max_files names
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
+def manifest(spark: SparkSession, path: str, options: dict[str, str] = {}) -> DataFrame:
     """url of each file that a manifest lists."""
-    return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path).select(F.explode("files.url").alias("url"))
+    return spark.read.options(**options).schema(schemas.MANIFEST).option("multiLine", True).json(path).select(F.explode("files.url").alias("url"))
 
 
-def works_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.schema(schemas.WORKS_PARQUET).parquet(*paths)
+def works_parquet(spark: SparkSession, *paths: str, options: dict[str, str] = {}) -> DataFrame:
+    return spark.read.options(**options).schema(schemas.WORKS_PARQUET).parquet(*paths)
 
 
 def csv(spark: SparkSession, path: str, schema: str, skip_bad: bool = False) -> DataFrame:

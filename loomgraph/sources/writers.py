@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class RowCountMismatch(ValueError):
@@ -13,12 +13,31 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 
 
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Puts the folder `new` where `path` is; what lay there is set aside first and deleted last."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{path}__old"
+    fs.delete(to(aside), True)
+    if fs.exists(to(path)) and not fs.rename(to(path), to(aside)):
+        raise OSError(f"{path} can't be set aside")
+    if not fs.rename(to(new), to(path)):
+        raise OSError(f"{new} can't be renamed to {path}")
+    fs.delete(to(aside), True)
+
+
 def write_parquet(df: DataFrame, path: str, expected: int | None = None) -> int:
-    """Writes, counts what lies there, and raises if it isn't what was expected."""
-    df.write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    """Writes beside `path`, counts what was written, and only then replaces what lies at `path`.
+
+    Raises RowCountMismatch if the rows aren't as many as expected; the table at `path` then stays as it was. As the old one
+    stays until the count, df may itself read from `path`.
+    """
+    new = f"{path.rstrip('/')}__new"
+    df.write.mode("overwrite").parquet(new)
+    written = df.sparkSession.read.schema(df.schema).parquet(new).count()
     if expected is not None and written != expected:
         raise RowCountMismatch(f"{path}: {written} rows, expected {expected}")
+    _swap(df.sparkSession, new, path.rstrip("/"))
     return written
 
 

@@ -7,7 +7,7 @@ from loomgraph.operators import ingest
 from loomgraph.plans.config import Config
 from loomgraph.plans.stages import Stages
 from loomgraph.sources import readers, schemas, writers
-from loomgraph.streaming.ingest import ingest_available
+from loomgraph.streaming.ingest import earlier_available, ingest_available
 
 URL = "https://example.org/"
 
@@ -91,7 +91,22 @@ def test_sinks(spark, tmp_path):
     assert writers.small_csv(df, {"rate": ".6f"}) == "year,rate\n2000,0.500000\n2001,\n"
     assert writers.write_parquet(df, str(tmp_path / "p"), 2) == 2
     with pytest.raises(writers.RowCountMismatch):
-        writers.write_parquet(df, str(tmp_path / "p"), 3)
+        writers.write_parquet(df.limit(1), str(tmp_path / "p"), 3)
+    kept = spark.read.parquet(str(tmp_path / "p"))
+    assert kept.count() == 2  # the table that didn't pass isn't put in place
+    assert writers.write_parquet(kept.union(kept), str(tmp_path / "p"), 4) == 4
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 4
+
+
+def test_configuration_from_outside():
+    assert Config.read({}) == Config() and Config.read({"LOOMGRAPH_FIRST_YEAR": "1990", "OTHER": "x"}) == Config(first_year=1990)
+    with pytest.raises(ValueError):
+        Config.read({"LOOMGRAPH_MIN_PAPERS": "many"})
+
+
+def test_reader_options(spark, tmp_path):
+    write(tmp_path / "w/part.gz", WORKS)
+    assert readers.works_json(spark, str(tmp_path / "w"), options=readers.PUBLIC).count() == len(WORKS)
 
 
 def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
@@ -105,6 +120,26 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert spark.read.parquet(f"{out}/attributes").count() == 6 and spark.read.parquet(f"{out}/edges").count() == 2
 
 
+def test_a_batch_done_again_replaces_itself(spark, tmp_path):
+    source, out, mark = tmp_path / "in", str(tmp_path / "out"), tmp_path / "mark"
+    write(source / "1.gz", WORKS)
+    ingest_available(spark, str(source), out, str(mark))
+    for name in ("0", ".0.crc"):  # as if the run had been broken off between writing the tables and the commit
+        (mark / "commits" / name).unlink()
+    ingest_available(spark, str(source), out, str(mark))
+    assert spark.read.parquet(f"{out}/attributes").count() == 5 and spark.read.parquet(f"{out}/edges").count() == 1
+
+
+def test_earlier_fields_go_on_where_they_stopped(spark, tmp_path):
+    source, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    works = lambda n: spark.createDataFrame([(f"{URL}W{n}", 1970, (("A",),)), (f"{URL}W{n + 1}", 1970, None), (f"{URL}W{n + 2}", 1980, (("A",),))], schemas.WORKS_PARQUET)
+    for n, new in ((1, True), (1, False), (2, True)):
+        if new:
+            works(10 * n).coalesce(1).write.parquet(f"{source}/{n}")
+        earlier_available(spark, source, out, mark)
+        assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [10 * i for i in range(1, n + 1)]
+
+
 def test_stages(spark, tmp_path):
     a = spark.createDataFrame([(f"W{i}", 2000 + i % 2, "AB"[i % 2], "") for i in range(1, 9)], "id string, year int, field string, author string")
     e = spark.createDataFrame([("W1", "W2;W3;W4"), ("W2", "W1"), ("W3", "W1;W4;W5")], "source string, targets string")
@@ -116,4 +151,5 @@ def test_stages(spark, tmp_path):
     assert stages.run() == Stages.NAMES and stages.run() == []
     assert sorted(map(tuple, stages.read("pairs").collect())) == [("W1", "W2"), ("W1", "W3")]
     assert stages.run(["pairs"], again=True) == ["pairs"]
+    assert {r["stage"]: r["n_rows"] for r in stages.summary().collect()}["pairs"] == 2
     assert sum(r["n_mutual"] for r in stages.read("n_mutual").collect()) == 4
