@@ -38,7 +38,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, in sequences of at most 2048 tokens."""
-    return pack(docs)
+    return pack(docs).drop("ids")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("jaccard_join", near), ("suffix_array_dedup", repeats), ("packing", packing)]

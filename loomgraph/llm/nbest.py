@@ -27,10 +27,11 @@ from functools import lru_cache
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import arrow_batches, prefix_hash, span_hash, table
+from .shared import arrow_batches, column_bytes, prefix_hash, span_hash, steps, table
 
 N_BEST = 4
 #: Added to ranks: the commonest pieces are not as far apart as 1 / r.
@@ -38,8 +39,9 @@ FLATTER = 10
 SPACE = "▁"
 #: Units of more characters are searched one by one.
 TOGETHER = 48
-BATCH_CHARS = 1_000_000
-SCHEMA = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded boolean, n_best long, scores array<double>, second_sha256 string"
+BATCH_BYTES = 1_000_000
+ENCODED = "doc_id long, n_chars long, decoded boolean, ids array<array<int>>, scores array<double>"
+DIGESTS = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded boolean, n_best long, scores array<double>, second_sha256 string"
 
 
 def model_path() -> str:
@@ -246,7 +248,7 @@ class Pieces:
         return self.bytes[np.arange(int(size.sum())) + np.repeat(self.byte_at[ids] - ends + size, size)], size
 
     def n_best(self, texts: list[str], n: int = N_BEST):
-        """(ids of the best, [(score, {place: rank})], ids of the second or None, whether they decode to the text) of each text."""
+        """(ids of each of the n best, their scores, whether the best decodes to the text) of each text."""
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
         off = np.concatenate([[0], np.cumsum([len(t) for t in marked])]).astype(np.int64)
@@ -267,21 +269,20 @@ class Pieces:
             a, b = bounds[k], bounds[k + 1]
             own = ids[ends[a] : ends[b]]
             if a == b:
-                yield own, [(0.0, {})], None, True
+                yield [own], [0.0], True
                 continue
             few = self._least(losses[a:b], min(n - 1, b - a))
             options = [(int(p), self.search(self.string(codes, start[a + p], end[a + p]), n)) for p in few if np.isfinite(losses[a + p])]
-            best, second = self.merge(float(scores[a:b].sum()), options, n), None
-            if len(best) > 1:
-                second, moved = own.tolist(), 0
-                for p, r in sorted(best[1][1].items()):
+            best, paths, found = self.merge(float(scores[a:b].sum()), options, n), [own], dict(options)
+            for _, moved in best[1:]:
+                parts, done = [], ends[a]
+                for p, r in sorted(moved.items()):
                     unit = self.string(codes, start[a + p], end[a + p])
-                    new = self.spell(unit, dict(options)[p][r][1])
-                    i, j = ends[a + p] - ends[a] + moved, ends[a + p + 1] - ends[a] + moved
-                    second[i:j] = new
-                    moved += len(new) - (j - i)
+                    parts += [ids[done : ends[a + p]], np.array(self.spell(unit, found[p][r][1]), np.int64)]
+                    done = ends[a + p + 1]
+                paths.append(np.concatenate([*parts, ids[done : ends[b]]]))
             said = raw[raw_ends[ends[a]] : raw_ends[ends[b]]].tobytes()
-            yield own, best, second, said[1:] == text.encode("utf-8", "replace")
+            yield paths, [score for score, _ in best], said[1:] == text.encode("utf-8", "replace")
 
     @staticmethod
     def _least(own: np.ndarray, few: int) -> np.ndarray:
@@ -295,29 +296,57 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _sha(ids: np.ndarray) -> str:
-    return hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+def _nested(ids: list[list[np.ndarray]]) -> pa.Array:
+    """Lists of lists of ids as an Arrow column."""
+    flat = [path for paths in ids for path in paths]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    values = pa.array(np.concatenate([np.zeros(0, np.int64), *flat]), pa.int32())
+    return pa.ListArray.from_arrays(ends([len(paths) for paths in ids]), pa.ListArray.from_arrays(ends([len(path) for path in flat]), values))
 
 
 def encode_n_best(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
-    """A row of SCHEMA for each document: digests of the best and second-best ids (little-endian unsigned 32-bit), scores of the n best."""
+    """A row of ENCODED for each document: the ids of the n best segmentations (fewer where there are no more), best first, and their scores."""
     path = path or model_path()
     arrow_batches(docs.sparkSession)
 
     def rows(it):
         pieces = pieces_of(path)
-        for pdf in it:
-            texts = [t or "" for t in pdf["text"]]
-            sizes = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-            for part in np.unique(sizes):
-                at = np.flatnonzero(sizes == part)
-                out = []
-                for k, (ids, best, second, same) in zip(at, pieces.n_best([texts[i] for i in at], n), strict=True):
-                    out.append((pdf["doc_id"].iloc[k], len(texts[k]), len(ids), _sha(ids), same, len(best), [b[0] for b in best], _sha(second) if second else None))
-                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded", "n_best", "scores", "second_sha256"]).astype({"doc_id": "Int64"})
+        for batch in it:
+            for i, j in steps(column_bytes(batch.column(1))[1], BATCH_BYTES):
+                texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
+                found, scores, same = zip(*pieces.n_best(texts, n), strict=True)
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                columns = [batch.column(0).slice(i, j - i), sizes, pa.array(same), _nested(list(found)), pa.array(scores, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "decoded", "ids", "scores"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(rows, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(rows, ENCODED)
+
+
+def decode(encoded: DataFrame, column: str = "ids", path: str | None = None) -> DataFrame:
+    """doc_id, text of each row's ids (array<int>); null or no ids: an empty text."""
+    path = path or model_path()
+    arrow_batches(encoded.sparkSession)
+
+    def rows(it):
+        pieces = pieces_of(path)
+        for batch in it:
+            texts = [pieces.decode(np.array(ids or [], np.int64))[0].tobytes()[1:].decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("array<int>").alias("ids")).mapInArrow(rows, "doc_id long, text string")
+
+
+def _digests(it):
+    """Of rows of ENCODED, digests of the best and the second-best ids (little-endian unsigned 32-bit)."""
+    names = ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded", "n_best", "scores", "second_sha256"]
+    for batch in it:
+        doc_id, n_chars, decoded, ids, scores = batch.columns
+        of, ends, flat = ids.offsets.to_numpy(), ids.values.offsets.to_numpy(), ids.values.values.to_numpy().astype("<u4")
+        sha = lambda k: hashlib.sha256(flat[ends[k] : ends[k + 1]].tobytes()).hexdigest()
+        best, second = [sha(k) for k in of[:-1]], [sha(k + 1) if end > k + 1 else None for k, end in zip(of[:-1], of[1:], strict=True)]
+        n_pieces, n_best = pa.array((ends[of[:-1] + 1] - ends[of[:-1]]).astype(np.int64)), pa.array(np.diff(of).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([doc_id, n_chars, n_pieces, pa.array(best, pa.string()), decoded, n_best, scores, pa.array(second, pa.string())], names)
 
 
 def op3_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_n_best(table(spark, sf_dir, "documents"))
+    return encode_n_best(table(spark, sf_dir, "documents")).mapInArrow(_digests, DIGESTS)

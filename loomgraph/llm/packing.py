@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import IS_SPACE, LOWER, SPACES, column_bytes, steps, table, words
 
 SEQUENCE, END_ID = 2048, 1
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 #: Distinct pieces whose ids a worker keeps.
 CACHE = 1_000_000
 
@@ -148,7 +148,7 @@ class Packer:
     def close(self, pieces: list) -> None:
         offset = 0
         for doc_id, start, ids, total in pieces:
-            self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, offset))
+            self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, offset, ids))
             offset += len(ids)
         self.next_id += 1
 
@@ -199,9 +199,13 @@ def _pack(it, path: str):
     packer = Packer(TaskContext.get().partitionId() << 33)
 
     def rows():
-        cols = list(zip(*packer.out, strict=True)) or [[]] * 7
+        *cols, ids = list(zip(*packer.out, strict=True)) or [[]] * 8
         packer.out = []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(cols[2])]), pa.int32())
+        pieces = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]), pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in cols), pieces], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+        )
 
     for batch in it:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -215,10 +219,10 @@ def _pack(it, path: str):
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """A row of SCHEMA for each piece. path: of the tokenizer file, the same on every executor."""
+    """A row of SCHEMA for each piece, its ids among them. path: of the tokenizer file, the same on every executor."""
     path = path or tokenizer_path()
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lambda it: _pack(it, path), SCHEMA)
 
 
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).drop("ids")

@@ -110,8 +110,24 @@ def test_n_best_segmentations(odd, odd_rows, empty):
         if t and len(t) < 1000:
             assert np.allclose(r["scores"], n_best_brute(pieces, t, nbest.N_BEST))
         elif not t:
-            assert (r["scores"], r["n_pieces"], r["second_sha256"]) == ([0.0], 0, None)
-    assert nbest.encode_n_best(empty).count() == 0
+            assert (r["scores"], r["ids"]) == ([0.0], [[]])
+    assert nbest.encode_n_best(empty).count() == nbest.decode(nbest.encode_n_best(empty).selectExpr("doc_id", "ids[0] as ids")).count() == 0
+    said = nbest.decode(nbest.encode_n_best(odd).selectExpr("doc_id", "explode(ids) as ids")).collect()
+    assert {(r["doc_id"], r["text"]) for r in said} == {(i, t or "") for i, t in odd_rows} and len(said) == sum(len(r["ids"]) for r in got)
+
+
+def test_digests_are_those_of_the_ids(spark, tmp_path):
+    rows = [(1, "The president of the United States"), (2, None), (3, "x"), (None, prose(4, 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    full = {r["doc_id"]: r for r in nbest.encode_n_best(df).collect()}
+    sha = lambda ids: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    got = nbest.op3_sentencepiece_n_best(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = full[r["doc_id"]]["ids"]
+        assert (r["n_pieces"], r["ids_sha256"], r["n_best"]) == (len(ids[0]), sha(ids[0]), len(ids)) and r["scores"] == full[r["doc_id"]]["scores"]
+        assert r["second_sha256"] == (sha(ids[1]) if len(ids) > 1 else None)
 
 
 def test_best_two_paths_and_long_runs():
@@ -120,14 +136,15 @@ def test_best_two_paths_and_long_runs():
     pieces = nbest.Pieces(nbest.model_path())
     of_id = {pieces.id[p]: s for p, s in pieces.score.items()}
     for text in ("The president of the United States", "aaaaabaaaa ba", "x", prose(3, 30), "漢字 é ß"):
-        ((ids, best, second, same),) = pieces.n_best([text])
-        want = n_best_brute(pieces, text, 2)
-        for got, score in ((ids, want[0]), (second, want[1] if len(want) > 1 else None)):
-            if got is not None and all(int(i) in of_id for i in got):  # pieces, no bytes
+        ((paths, scores, same),) = pieces.n_best([text])
+        want = n_best_brute(pieces, text, nbest.N_BEST)
+        assert np.allclose(scores, want) and len({tuple(map(int, ids)) for ids in paths}) == len(paths) == len(want)
+        for got, score in zip(paths, want, strict=True):
+            if all(int(i) in of_id for i in got):  # pieces, no bytes
                 assert np.isclose(sum(of_id[int(i)] for i in got), score)
                 assert b"".join(pieces.text[int(i)] for i in got) == b" " + text.encode()
-        assert same and len(best) > 1
-    assert len(next(iter(pieces.n_best(["The president of the United States"])))[0]) <= 8
+        assert same and len(paths) > 1
+    assert len(next(iter(pieces.n_best(["The president of the United States"])))[0][0]) <= 8
     for run in ("a", "x", "ab", "ha"):
         start = time.time()
         assert len(pieces.search(run * (20_000 // len(run)), 4)) == 4 and time.time() - start < 15
@@ -326,6 +343,7 @@ def test_packing(odd, odd_rows, empty):
     for i, t in odd_rows:
         want.append((i, np.array(whole.encode(t or "", add_special_tokens=False).ids + [1], "<u4")))
     for i, ids in want:
+        assert all(r["ids"] == ids[r["start"] : r["start"] + r["length"]].tolist() for r in got if r["doc_id"] == i and i is not None and r["doc_tokens"] == len(ids))
         own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i and r["doc_tokens"] == len(ids))
         assert set(own) >= {(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n, _ in own} or i is None
         assert sum(n for _, n, _ in own) % len(ids) == 0
