@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, nbest, packing, substring_dedup, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, merkle, nbest, packing, prefix_trie, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_html_crf": html_extract.op8_html_crf,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_embedding_near_dedup": embedding_dedup.op13_embedding_near_dedup,
 }
 
 ORACLES = {
@@ -21,4 +24,7 @@ ORACLES = {
     "op4_suffix_array_dedup": substring_dedup.ORACLE,
     "op5_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_embedding_near_dedup": embedding_dedup.ORACLE,
 }
