@@ -32,12 +32,11 @@ class Fixture:
             if isinstance(frame, DataFrame):
                 frame.unpersist()
 
-    @cached_property
-    def folder(self) -> str:
-        """A folder of its own for files that queries read, in the shared checkpoint folder."""
+    def fresh(self) -> str:
+        """A folder of its own for files that a query reads, in the shared checkpoint folder; another at each call."""
         shared = self.spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            if not self.spark.sparkContext.master.startswith("local"):
+            if not self.spark.sparkContext.master.startswith("local") or "cluster" in self.spark.sparkContext.master:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         return f"{shared.rstrip('/')}/loomgraph-files-{uuid.uuid4().hex}"

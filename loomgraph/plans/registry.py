@@ -221,14 +221,14 @@ def _(x: Fixture) -> DataFrame:
 
 @_query("works_json_files", "SELECT id, year, field, author FROM attributes")
 def _(x: Fixture) -> DataFrame:
-    path = f"{x.folder}/works"
+    path = f"{x.fresh()}/works"
     x.works.write.mode("overwrite").option("compression", "gzip").json(path)
     return ingest.attributes(readers.works_json(x.spark, path), x.config.first_year, x.config.last_year)
 
 
 @_query("works_stream_files", "SELECT source, targets FROM edges")
 def _(x: Fixture) -> DataFrame:
-    path = f"{x.folder}/stream"
+    path = f"{x.fresh()}/stream"
     x.works.write.mode("overwrite").option("compression", "gzip").json(f"{path}/works")
     for _ in range(2):  # the second call finds nothing new
         ingest_available(x.spark, f"{path}/works", f"{path}/out", f"{path}/mark", x.config.first_year, x.config.last_year)
@@ -237,14 +237,14 @@ def _(x: Fixture) -> DataFrame:
 
 @_query("works_parquet_files", "SELECT pid AS id, field FROM earlier")
 def _(x: Fixture) -> DataFrame:
-    path = f"{x.folder}/flat"
+    path = f"{x.fresh()}/flat"
     x.works_flat.write.mode("overwrite").parquet(path)
     return ingest.earlier_fields(readers.works_parquet(x.spark, path), x.config.before_year)
 
 
 @_query("earlier_stream_files", "SELECT pid AS id, field FROM earlier")
 def _(x: Fixture) -> DataFrame:
-    path = f"{x.folder}/earlier"
+    path = f"{x.fresh()}/earlier"
     x.works_flat.write.mode("overwrite").parquet(f"{path}/works")
     for _ in range(2):
         earlier_available(x.spark, f"{path}/works", f"{path}/out", f"{path}/mark", x.config.before_year)
@@ -253,7 +253,7 @@ def _(x: Fixture) -> DataFrame:
 
 @_query("manifest_files", "SELECT DISTINCT 'works/year=' || year || '.gz' AS url FROM attributes")
 def _(x: Fixture) -> DataFrame:
-    path = f"{x.folder}/manifest"
+    path = f"{x.fresh()}/manifest"
     urls = x.attributes.select(F.struct(F.concat(F.lit("works/year="), "year", F.lit(".gz")).alias("url")).alias("file")).distinct()
     urls.agg(F.collect_list("file").alias("files")).write.mode("overwrite").json(path)  # a year each
     return readers.manifest(x.spark, path)
@@ -262,7 +262,7 @@ def _(x: Fixture) -> DataFrame:
 @_query("csv_files", """SELECT id, year::VARCHAR AS year, field, author || ', "' || id || '"' || chr(10) || 'a\\' AS author FROM attributes""")
 def _(x: Fixture) -> DataFrame:
     """Commas, quotes, line breaks and a backslash at the end come back as they were."""
-    path = f"{x.folder}/csv"
+    path = f"{x.fresh()}/csv"
     awkward = F.concat("author", F.lit(', "'), "id", F.lit('"\na\\'))
     writers.write_csv(x.attributes.select("id", "year", "field", awkward.alias("author")), path)
     return readers.csv(x.spark, path, schemas.ATTRIBUTES)
@@ -271,7 +271,7 @@ def _(x: Fixture) -> DataFrame:
 @_query("csv_bad_rows", "SELECT source, split_part(targets, ';', 1) AS targets FROM edges WHERE ltrim(source, 'W')::BIGINT % 3 = 0")
 def _(x: Fixture) -> DataFrame:
     """Rows with a cell too few or too many are dropped."""
-    path = f"{x.folder}/bad"
+    path = f"{x.fresh()}/bad"
     line = F.concat("source", F.element_at(F.array(F.lit(""), F.concat(F.lit(","), F.split_part("targets", F.lit(";"), F.lit(1)))), F.when(pid("source") % 3 == 1, 1).otherwise(2)))
     line = F.concat(line, F.when(pid("source") % 3 == 2, F.lit(",W1")).otherwise(""))
     x.edges.select(line.alias("source,targets")).write.mode("overwrite").options(header=True, sep="\t").csv(path)
@@ -281,11 +281,11 @@ def _(x: Fixture) -> DataFrame:
 @_query("table_swapped", "SELECT year, count(*) AS n_papers FROM clean GROUP BY year")
 def _(x: Fixture) -> DataFrame:
     """A table replaced by itself, after one with a row too few was turned away."""
-    path = f"{x.folder}/per_year"
+    path = f"{x.fresh()}/per_year"
     per_year = figures.papers_per_year(x.clean_attributes, x.config.first_year, x.config.last_year)
     n = writers.write_parquet(per_year, path)
     try:
         writers.write_parquet(per_year.limit(0), path, n)
     except writers.RowCountMismatch:
-        writers.write_parquet(x.spark.read.parquet(path), path, n)
-    return x.spark.read.parquet(path)
+        writers.write_parquet(writers.read_parquet(x.spark, path), path, n)
+    return writers.read_parquet(x.spark, path)

@@ -21,13 +21,12 @@ class Stages:
 
     def done(self, name: str) -> bool:
         """Whether the stage's table was committed whole."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return writers.current(self.spark, f"{self.folder}/{name}") is not None
 
     def read(self, name: str) -> DataFrame:
         if not self.done(name):
             raise FileNotFoundError(f"stage {name!r} has no table in {self.folder}; run it first")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return writers.read_parquet(self.spark, f"{self.folder}/{name}")
 
     def build(self, name: str) -> DataFrame:
         c, read = self.config, self.read

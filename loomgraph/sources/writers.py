@@ -1,44 +1,84 @@
-"""Sinks: CSV and Parquet folders with a row gate, and small result files with fixed formats."""
+"""Sinks: CSV, versioned Parquet tables with gates, and small result files with fixed formats."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class RowCountMismatch(ValueError):
     """What was written isn't as many rows as were to come."""
 
 
+class GateFailed(ValueError):
+    """A gate of the rows written doesn't hold."""
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 
 
-def _swap(spark: SparkSession, new: str, path: str) -> None:
-    """Puts the folder `new` where `path` is; what lay there is set aside first and deleted last."""
+def _files(spark: SparkSession, path: str):
+    """(file system, constructor of its paths)."""
     to = spark._jvm.org.apache.hadoop.fs.Path
-    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = f"{path}__old"
-    fs.delete(to(aside), True)
-    if fs.exists(to(path)) and not fs.rename(to(path), to(aside)):
-        raise OSError(f"{path} can't be set aside")
-    if not fs.rename(to(new), to(path)):
-        raise OSError(f"{new} can't be renamed to {path}")
-    fs.delete(to(aside), True)
+    return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), to
 
 
-def write_parquet(df: DataFrame, path: str, expected: int | None = None) -> int:
-    """Writes beside `path`, counts what was written, and only then replaces what lies at `path`.
+def _versions(spark: SparkSession, path: str, folder: str) -> list[int]:
+    fs, to = _files(spark, path)
+    if not fs.exists(to(f"{path}/{folder}")):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(to(f"{path}/{folder}"))]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.removeprefix("version=").isdigit())
+
+
+def current(spark: SparkSession, path: str) -> int | None:
+    """Number of the version that readers see; None where nothing was committed."""
+    return max(_versions(spark, path.rstrip("/"), "_committed"), default=None)
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """The table that write_parquet() committed last."""
+    version = current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path} has no committed version")
+    return spark.read.parquet(f"{path.rstrip('/')}/data/version={version}")
 
-    Raises RowCountMismatch if the rows aren't as many as expected; the table at `path` then stays as it was. As the old one
-    stays until the count, df may itself read from `path`.
+
+def write_gated(df: DataFrame, path: str, expected: int | None = None, gates: dict[str, Column] | None = None) -> dict[str, object]:
+    """Writes df as the next version of the table at `path`, and commits it if its gates hold.
+
+    Rows, and the aggregates `gates`, are observed while the rows are written: no second job reads them. A gate is a boolean
+    aggregate, such as F.count_if(..) == 0. Raises RowCountMismatch or GateFailed, and leaves the table as it was.
+
+    The commit is the creation of one empty file, _committed/<version>, which every file system does whole or not at all; nothing
+    is renamed. Until then readers see the version before, and after it this one. The version before stays for those who
+    still read it; older ones, and what broken-off writes left, go. df may read from `path` itself.
     """
-    new = f"{path.rstrip('/')}__new"
-    df.write.mode("overwrite").parquet(new)
-    written = df.sparkSession.read.schema(df.schema).parquet(new).count()
-    if expected is not None and written != expected:
-        raise RowCountMismatch(f"{path}: {written} rows, expected {expected}")
-    _swap(df.sparkSession, new, path.rstrip("/"))
-    return written
+    spark, path = df.sparkSession, path.rstrip("/")
+    fs, to = _files(spark, path)
+    held = _versions(spark, path, "_committed")
+    version = max([*held, *_versions(spark, path, "data"), 0]) + 1
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *(gate.alias(name) for name, gate in (gates or {}).items()))
+    observed.write.parquet(f"{path}/data/version={version}")
+    found = seen.get
+    if expected is not None and found["n_rows"] != expected:
+        raise RowCountMismatch(f"{path}: {found['n_rows']} rows, expected {expected}")
+    if failed := [name for name in gates or {} if not found[name]]:
+        raise GateFailed(f"{path}: {', '.join(failed)}")
+    fs.create(to(f"{path}/_committed/{version}"), False).close()
+    keep = {version, *held[-1:]}
+    for folder, name in (("_committed", "{}"), ("data", "version={}")):  # a version's mark goes before its data
+        for old in _versions(spark, path, folder):
+            if old not in keep and old < version:
+                fs.delete(to(f"{path}/{folder}/{name.format(old)}"), True)
+    return found
+
+
+def write_parquet(df: DataFrame, path: str, expected: int | None = None) -> int:
+    """write_gated() with no gate but the number of rows, which it returns."""
+    return write_gated(df, path, expected)["n_rows"]
 
 
 def small_csv(df: DataFrame, formats: dict[str, str]) -> str:

@@ -2,6 +2,8 @@ import gzip
 import json
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from loomgraph.operators import ingest
 from loomgraph.plans.config import Config
@@ -92,10 +94,58 @@ def test_sinks(spark, tmp_path):
     assert writers.write_parquet(df, str(tmp_path / "p"), 2) == 2
     with pytest.raises(writers.RowCountMismatch):
         writers.write_parquet(df.limit(1), str(tmp_path / "p"), 3)
-    kept = spark.read.parquet(str(tmp_path / "p"))
+    kept = writers.read_parquet(spark, str(tmp_path / "p"))
     assert kept.count() == 2  # the table that didn't pass isn't put in place
     assert writers.write_parquet(kept.union(kept), str(tmp_path / "p"), 4) == 4
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 4
+    assert writers.read_parquet(spark, str(tmp_path / "p")).count() == 4
+    with pytest.raises(FileNotFoundError):
+        writers.read_parquet(spark, str(tmp_path / "none"))
+
+
+def test_gates_are_observed_in_the_write(spark, tmp_path):
+    """One job writes and counts; a gate that fails leaves the table as it was."""
+    path, tracker = str(tmp_path / "g"), spark.sparkContext.statusTracker()
+    df = spark.range(100, numPartitions=3).withColumnRenamed("id", "n")
+    spark.sparkContext.setJobGroup("gates", "")
+    found = writers.write_gated(df, path, 100, {"no_nulls": F.count_if(F.col("n").isNull()) == 0, "small": F.max("n") < 100})
+    assert found == {"n_rows": 100, "no_nulls": True, "small": True} and len(tracker.getJobIdsForGroup("gates")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    with pytest.raises(writers.GateFailed, match="small"):
+        writers.write_gated(df.selectExpr("n + 50 as n"), path, gates={"small": F.max("n") < 100})
+    assert writers.current(spark, path) == 1 and writers.read_parquet(spark, path).count() == 100
+    assert writers.write_gated(df.limit(0), path, 0, {"empty": F.count(F.lit(1)) == 0})["n_rows"] == 0
+    assert writers.read_parquet(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("at", ["write", "gate", "commit", "clean"])
+def test_a_write_broken_off_anywhere_leaves_one_whole_table(spark, tmp_path, monkeypatch, at):
+    path = str(tmp_path / "t")
+    for n in (1, 2):
+        writers.write_parquet(spark.range(n), path)
+    real = writers._files
+
+    class Broken(Exception):
+        pass
+
+    class Files:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if (name, at) in (("create", "commit"), ("delete", "clean")):
+                raise Broken
+            return getattr(self.fs, name)
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_files", lambda *a: (Files(real(*a)[0]), real(*a)[1]))
+        rows = spark.range(3, numPartitions=1)
+        if at == "write":
+            rows = rows.selectExpr("if(id < 2, id, raise_error('lost')) as id")
+        with pytest.raises((Broken, writers.RowCountMismatch, PySparkException)):
+            writers.write_parquet(rows, path, 7 if at == "gate" else 3)
+    assert writers.read_parquet(spark, path).count() == (3 if at == "clean" else 2)
+    assert writers.write_parquet(spark.range(4), path, 4) == 4 and writers.read_parquet(spark, path).count() == 4
+    assert len(list((tmp_path / "t/data").iterdir())) == 2  # this one and the one before
 
 
 def test_configuration_from_outside():
