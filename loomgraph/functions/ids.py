@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,11 @@ def pid(work_id: Column | str) -> Column:
     return F.ltrim(work_id if isinstance(work_id, Column) else F.col(work_id), F.lit("W")).cast("bigint")
 
 
+def number(papers: DataFrame) -> Column:
+    """The papers' numbers: their column pid where they have one (as bucketed tables do), else pid("id")."""
+    return F.col("pid") if "pid" in papers.columns else pid("id")
+
+
 def try_pid(work_id: Column | str) -> Column:
     """As pid, null where the rest is no whole number."""
     return F.ltrim(work_id if isinstance(work_id, Column) else F.col(work_id), F.lit("W")).try_cast("bigint")

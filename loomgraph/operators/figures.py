@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import pid
+from ..functions.ids import number
 from ..functions.ratios import percent
 
 DIVERSE, NOT_DIVERSE = "diverse", "non-diverse"
@@ -14,7 +14,7 @@ DIVERSE, NOT_DIVERSE = "diverse", "non-diverse"
 def cohort(attributes: DataFrame, n_cited: DataFrame, n_mutual: DataFrame, first_year: int, last_year: int) -> DataFrame:
     """Papers of the window with references: id, year, n_cited, n_mutual (0 if none) and diversity_count if there is one."""
     kept = [c for c in ("year", "diversity_count") if c in attributes.columns]
-    papers = attributes.where(F.col("year").between(first_year, last_year)).select(pid("id").alias("id"), *kept)
+    papers = attributes.where(F.col("year").between(first_year, last_year)).select(number(attributes).alias("id"), *kept)
     return n_cited.join(papers, "id").join(n_mutual, "id", "left").withColumn("n_mutual", F.coalesce("n_mutual", F.lit(0)))
 
 

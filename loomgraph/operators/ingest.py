@@ -15,6 +15,24 @@ def first_field(topics: Column) -> Column:
     return F.coalesce(F.get(topics, F.lit(0))["field"]["display_name"], F.lit(UNKNOWN))
 
 
+def null_or_first_field(work: Column) -> Column:
+    """Field of the first topic of a VARIANT: null where its name is null, UNKNOWN where the name, the field or the topic isn't there.
+
+    A field that is null, or a topic that is no object, counts as not there.
+    """
+    name = F.try_variant_get(work, "$.topics[0].field.display_name", "variant")
+    return F.when(F.is_variant_null(name), F.lit(None)).otherwise(F.coalesce(F.try_variant_get(work, "$.topics[0].field.display_name", "string"), F.lit(UNKNOWN)))
+
+
+def from_variant(works: DataFrame) -> DataFrame:
+    """Works (column work, a VARIANT) with the columns that attributes() and edges() read, and `field` instead of topics."""
+    get = lambda path, kind: F.try_variant_get("work", path, kind)
+    return works.select(
+        get("$.id", "string").alias("id"), get("$.publication_year", "int").alias("publication_year"), null_or_first_field(F.col("work")).alias("field"),
+        get("$.authorships", "array<struct<author: struct<display_name: string>>>").alias("authorships"), get("$.referenced_works", "array<string>").alias("referenced_works"),
+    )
+
+
 def author_list(authorships: Column) -> Column:
     """Names in their order, joined by '; '; missing and empty names are left out."""
     names = F.filter(F.transform(authorships, lambda a: a["author"]["display_name"]), lambda n: n.isNotNull() & (n != ""))
@@ -27,9 +45,9 @@ def in_scope(works: DataFrame, first_year: int, last_year: int) -> DataFrame:
 
 
 def attributes(works: DataFrame, first_year: int = 1975, last_year: int = 2023) -> DataFrame:
-    return in_scope(works, first_year, last_year).select(
-        last_segment(F.col("id")).alias("id"), F.col("publication_year").alias("year"), first_field(F.col("topics")).alias("field"), author_list(F.col("authorships")).alias("author")
-    )
+    """id, year, field, author. Works of a plain scan have UNKNOWN for a null field name, those of from_variant() null."""
+    field = F.col("field") if "field" in works.columns else first_field(F.col("topics"))
+    return in_scope(works, first_year, last_year).select(last_segment(F.col("id")).alias("id"), F.col("publication_year").alias("year"), field.alias("field"), author_list(F.col("authorships")).alias("author"))
 
 
 def edges(works: DataFrame, first_year: int = 1975, last_year: int = 2023) -> DataFrame:

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import pid, targets
+from ..functions.ids import number, pid, targets
 from .graph import edge_list
 from .ingest import UNKNOWN
 
-#: 64-bit masks that hold a set of fields; more than 64 fields each is an error, not a loss.
-MASKS = 4
-
 
 def n_cited_of(distinct: bool = True) -> Column:
     """Listed targets less one if the source is among them: on arrays, without explode or shuffle.
@@ -47,44 +41,56 @@ def field_codes(*fields: DataFrame) -> DataFrame:
     return names.distinct().select("field", (F.row_number().over(Window.orderBy("field")) - 1).cast("bigint").alias("code"))
 
 
-def field_lookup(attributes: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
-    """dst, code of each paper with a known field; ids that both frames have keep the first frame's."""
-    own = attributes.select(pid("id").alias("dst"), "field", F.lit(0).alias("rank"))
-    if earlier is None:
-        every = known(own)
-        codes = field_codes(attributes)
-    else:
-        both = known(own.unionByName(earlier.select(F.col("id").alias("dst"), "field", F.lit(1).alias("rank"))))
-        every = both.groupBy("dst").agg(F.min_by("field", "rank").alias("field"))
-        codes = field_codes(attributes, earlier)
-    too_many = F.raise_error(F.lit(f"more than {64 * MASKS} fields")).cast("bigint")
-    codes = codes.withColumn("code", F.when(F.col("code") < 64 * MASKS, F.col("code")).otherwise(too_many))
-    return every.join(F.broadcast(codes), "field").select("dst", "code")  # at most 64 * MASKS rows
+def field_lookup(attributes: DataFrame, earlier: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """dst, code, late of each paper with a known field; ids that both frames have keep the first frame's.
 
+    late: whether only `earlier` has it. codes: of field_codes(), over these frames' fields at least, if they are known already.
+    There are as many codes as fields; whether their table is broadcast is left to its measured size.
+    """
+    if codes is None:
+        codes = field_codes(*(f for f in (attributes, earlier) if f is not None))
+    own = known(attributes.select(pid("id").alias("dst"), "field", F.lit(False).alias("late")))
+    if earlier is not None:
+        both = own.unionByName(known(earlier.select(F.col("id").alias("dst"), "field", F.lit(True).alias("late"))))
+        own = both.groupBy("dst").agg(F.min_by("field", "late").alias("field"), F.min("late").alias("late"))
+    return own.join(codes, "field").select("dst", "code", "late")
 
-def diversity_count(edges: DataFrame, lookup: DataFrame) -> DataFrame:
-    """id, diversity_count of each source: distinct known fields among its references, itself left out; 0 if none.
 
-    Masks of fields are OR-ed in the grouping: its buffer is a few longs, and it begins map-side.
+def _words(edges: DataFrame, lookup: DataFrame, **masks: Column) -> DataFrame:
+    """id and, for each mask, how many distinct codes its references have where the condition holds.
+
+    A paper's fields are a sparse bitmap: a row for each 64 codes that it has any of, with a word of bits for each condition. The
+    grouping that ORs them begins map-side with a few longs; a paper of up to 64 fields is one row of what is summed then.
     """
+    bit = F.expr("shiftleft(1L, int(code % 64))")
     listed = edge_list(edges).where("src != dst").join(lookup, "dst")
-    words = [F.bit_or(F.expr(f"if(code div 64 = {k}, shiftleft(1L, int(code % 64)), 0L)")).alias(f"mask{k}") for k in range(MASKS)]
-    masks = listed.groupBy(F.col("src").alias("id")).agg(*words)
-    count = reduce(add, [F.coalesce(F.bit_count(f"mask{k}"), F.lit(0)) for k in range(MASKS)])
-    return edges.select(pid("source").alias("id")).join(masks, "id", "left").select("id", count.cast("int").alias("diversity_count"))
+    words = listed.groupBy(F.col("src").alias("id"), F.expr("code div 64").alias("word")).agg(*[F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long"))).alias(n) for n, c in masks.items()])
+    return words.groupBy("id").agg(*[F.sum(F.bit_count(n)).cast("int").alias(n) for n in masks])
+
+
+def diversity_count(edges: DataFrame, lookup: DataFrame) -> DataFrame:
+    """id, diversity_count of each source: distinct known fields among its references, itself left out; 0 if none."""
+    found = _words(edges, lookup, diversity_count=F.lit(True))
+    return edges.select(pid("source").alias("id")).join(found, "id", "left").select("id", F.coalesce("diversity_count", F.lit(0)).alias("diversity_count"))
+
+
+def diversity_both(edges: DataFrame, attributes: DataFrame, earlier: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """id, old, new of each source: diversity without and with the earlier papers' fields, from one pass over the references."""
+    found = _words(edges, field_lookup(attributes, earlier, codes), old=~F.col("late"), new=F.lit(True))
+    return edges.select(pid("source").alias("id")).join(found, "id", "left").select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("old", "new")))
 
 
 def with_diversity(attributes: DataFrame, counts: DataFrame) -> DataFrame:
     """The papers with diversity_count, 0 where a paper lists nothing."""
-    keyed = attributes.drop("diversity_count").withColumn("pid", pid("id"))
-    joined = keyed.join(counts.select(F.col("id").alias("pid"), "diversity_count"), "pid", "left").drop("pid")
-    return joined.withColumn("diversity_count", F.coalesce("diversity_count", F.lit(0)))
+    columns = [c for c in attributes.columns if c != "diversity_count"]
+    keyed = attributes.select(*columns, number(attributes).alias("__id"))
+    joined = keyed.join(counts.select(F.col("id").alias("__id"), "diversity_count"), "__id", "left")
+    return joined.select(*columns, F.coalesce("diversity_count", F.lit(0)).alias("diversity_count"))
 
 
-def diversity_before_after(attributes: DataFrame, counts: DataFrame) -> DataFrame:
-    """By year: papers with references, mean diversity before and after, mean gain, and the share whose diversity rose."""
-    old = attributes.select(pid("id").alias("id"), "year", F.coalesce("diversity_count", F.lit(0)).alias("old"))
-    both = old.join(counts.select("id", F.col("diversity_count").alias("new")), "id")
+def diversity_before_after(attributes: DataFrame, both: DataFrame) -> DataFrame:
+    """By year: papers with references, mean diversity before and after, mean gain, and the share whose diversity rose. both: of diversity_both()."""
+    both = attributes.select(pid("id").alias("id"), "year").join(both, "id")
     return both.groupBy("year").agg(
         F.count(F.lit(1)).alias("n_papers"), F.avg("old").alias("mean_old"), F.avg("new").alias("mean_new"), F.avg(F.col("new") - F.col("old")).alias("mean_gain"),
         (F.lit(100.0) * F.count_if(F.col("new") > F.col("old")) / F.count(F.lit(1))).alias("pct_raised"),

@@ -92,13 +92,18 @@ class Fixture:
     def connected_attributes(self) -> DataFrame:
         return graph.retain_connected(self.attributes, self.edges)
 
+    @cached_property
+    def codes(self) -> DataFrame:
+        """Of every paper's field: isolated papers may have more, which changes no count."""
+        return metrics.field_codes(self.attributes, self.earlier)
+
     @cached_property
     def diversity(self) -> DataFrame:
-        return metrics.diversity_count(self.edges, metrics.field_lookup(self.connected_attributes))
+        return metrics.diversity_count(self.edges, metrics.field_lookup(self.connected_attributes, codes=self.codes))
 
     @cached_property
     def diversity_backfilled(self) -> DataFrame:
-        return metrics.diversity_count(self.edges, metrics.field_lookup(self.connected_attributes, self.earlier))
+        return metrics.diversity_count(self.edges, metrics.field_lookup(self.connected_attributes, self.earlier, self.codes))
 
     @cached_property
     def clean_attributes(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,11 @@ from ..functions.ids import pid
 from ..functions.ratios import percent
 from ..operators import figures, graph, ingest, metrics, validation
 from ..sources import readers, schemas, writers
+from ..sources.tables import Tables
+from ..streaming import parts
 from ..streaming.ingest import earlier_available, ingest_available
 from .fixture import SQL, Fixture, fixture
+from .pair_batches import PairBatches
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -63,7 +67,12 @@ _query(
     """SELECT year, count(*) AS n_papers, avg(coalesce(d.diversity_count, 0)) AS mean_old, avg(b.diversity_count) AS mean_new, avg(b.diversity_count - coalesce(d.diversity_count, 0)) AS mean_gain,
        100.0::DOUBLE * count(*) FILTER (WHERE b.diversity_count > coalesce(d.diversity_count, 0)) / count(*) AS pct_raised
        FROM retained r JOIN divb b ON b.id = r.pid LEFT JOIN div d ON d.id = r.pid GROUP BY year""",
-)(lambda x: metrics.diversity_before_after(metrics.with_diversity(x.connected_attributes, x.diversity), x.diversity_backfilled))
+)(lambda x: metrics.diversity_before_after(x.connected_attributes, metrics.diversity_both(x.edges, x.connected_attributes, x.earlier, x.codes)))
+_query(
+    "diversity_of_300_fields",
+    """, f AS (SELECT pid, 'f' || pid % 300 AS field FROM retained UNION ALL SELECT pid, 'f' || pid % 300 FROM earlier)
+       SELECT e.s AS id, count(DISTINCT CASE WHEN e.s <> e.t THEN f.field END)::INTEGER AS diversity_count FROM e LEFT JOIN f ON f.pid = e.t GROUP BY e.s""",
+)(lambda x: metrics.diversity_count(x.edges, metrics.field_lookup(*(df.withColumn("field", F.concat(F.lit("f"), (n % 300).cast("string"))) for df, n in ((x.connected_attributes, pid("id")), (x.earlier, F.col("id")))))))
 _query(
     "diversity_distribution",
     "SELECT coalesce(diversity_count, 0)::INTEGER AS diversity_count, count(*) AS papers FROM retained r LEFT JOIN div ON div.id = r.pid GROUP BY 1 ORDER BY 1 LIMIT 15",
@@ -226,6 +235,22 @@ def _(x: Fixture) -> DataFrame:
     return ingest.attributes(readers.works_json(x.spark, path), x.config.first_year, x.config.last_year)
 
 
+@_query(
+    "works_variant_files",
+    """SELECT id, year, CASE WHEN field = 'Unknown' OR pid % 4 = 1 OR pid % 4 = 2 THEN 'Unknown' WHEN pid % 4 = 3 THEN field END AS field, author FROM attributes""",
+)
+def _(x: Fixture) -> DataFrame:
+    """Of four works one has a null for its field's name, one no name, one a null for its field."""
+    path, case = f"{x.fresh()}/variant", pid(F.substring_index("id", "/", -1)) % 4
+    name = F.when(case == 3, F.col("topics")[0]["field"]["display_name"])
+    field = F.when(case != 2, F.struct(name.alias("display_name")))
+    works = x.works.withColumn("topics", F.when(F.col("topics").isNotNull(), F.array(F.struct(field.alias("field")))))
+    every = F.struct(*works.columns)
+    line = F.when(case == 1, F.to_json(every)).otherwise(F.to_json(every, {"ignoreNullFields": "false"}))
+    works.select(line.alias("value")).write.option("compression", "gzip").text(path)
+    return ingest.attributes(ingest.from_variant(readers.works_variant(x.spark, path)), x.config.first_year, x.config.last_year)
+
+
 @_query("works_stream_files", "SELECT source, targets FROM edges")
 def _(x: Fixture) -> DataFrame:
     path = f"{x.fresh()}/stream"
@@ -289,3 +314,80 @@ def _(x: Fixture) -> DataFrame:
     except writers.RowCountMismatch:
         writers.write_parquet(writers.read_parquet(x.spark, path), path, n)
     return writers.read_parquet(x.spark, path)
+
+
+@_query("cohort_bucketed", "SELECT id, year, n_cited, n_mutual, diversity_count FROM papers")
+def _(x: Fixture) -> DataFrame:
+    """Papers, counts and diversity as bucketed tables, joined where they lie."""
+    tables = Tables(x.spark, f"loomgraph_{uuid.uuid4().hex}", 4, x.fresh())
+    tables.save("papers", x.clean_attributes.withColumn("pid", pid("id")), "pid")
+    for name, df in (("n_cited", x.n_cited), ("n_mutual", x.n_mutual), ("diversity", x.diversity_backfilled)):
+        tables.save(name, df, "id")
+    rated = metrics.with_diversity(tables.read("papers"), tables.read("diversity"))
+    return figures.cohort(rated, tables.read("n_cited"), tables.read("n_mutual"), x.config.first_year, x.config.last_year).select("id", "year", "n_cited", "n_mutual", "diversity_count")
+
+
+def _years_as_parts(x: Fixture, path: str) -> None:
+    """The works as JSON lines, a file a year; in each a line that is no record."""
+    lines = x.works.select("publication_year", F.to_json(F.struct(*x.works.columns)).alias("value"))
+    bad = x.works.select("publication_year").distinct().select("publication_year", F.concat(F.lit('{"id": "broken '), "publication_year").alias("value"))
+    lines.unionByName(bad).repartition(8, "publication_year").write.partitionBy("publication_year").option("compression", "gzip").text(path)
+
+
+@_query("parts_edges", "SELECT source, targets FROM edges")
+def _(x: Fixture) -> DataFrame:
+    """Taken part by part, twice; a second run finds nothing new."""
+    path = x.fresh()
+    _years_as_parts(x, f"{path}/in")
+    taken = parts.works_parts(x.spark, f"{path}/out", x.config.first_year, x.config.last_year, per_batch=10)
+    for _ in range(2):
+        taken.run(parts.listed(x.spark, f"{path}/in"))
+    return taken.table("edges")
+
+
+@_query("parts_rejects", "SELECT year::VARCHAR AS year, '{\"id\": \"broken ' || year AS line, count(*) AS n_rows FROM works GROUP BY year")
+def _(x: Fixture) -> DataFrame:
+    """Rejected lines and rows taken, by part."""
+    path = x.fresh()
+    _years_as_parts(x, f"{path}/in")
+    taken = parts.works_parts(x.spark, f"{path}/out", x.config.first_year, x.config.last_year)
+    taken.run(parts.listed(x.spark, f"{path}/in"))
+    year = F.regexp_extract("part", "publication_year=(\\d+)", 1).alias("year")
+    return taken.ledger().join(taken.rejects().drop("batch"), "part").select(year, "line", "n_rows")
+
+
+@_query("parts_completeness", "SELECT year::VARCHAR AS key, 'missing' AS state FROM (SELECT DISTINCT year FROM works WHERE year > 2005) UNION ALL SELECT DISTINCT year::VARCHAR, 'stale' FROM works WHERE year < 1970")
+def _(x: Fixture) -> DataFrame:
+    """The storage against the ledger: years that weren't taken yet, and years that were and are gone."""
+    path = x.fresh()
+    _years_as_parts(x, f"{path}/in")
+    there = parts.listed(x.spark, f"{path}/in").withColumn("year", F.regexp_extract("part", "publication_year=(\\d+)", 1)).cache()
+    taken = parts.works_parts(x.spark, f"{path}/out", x.config.first_year, x.config.last_year)
+    taken.run(there.where("year <= 2005").drop("year"))
+    found = taken.completeness(there.where("year >= 1970"))
+    return found.select(F.regexp_extract("key", "publication_year=(\\d+)", 1).alias("key"), "state")
+
+
+@_query("manifest_scan", "SELECT pid AS id, field FROM works WHERE year < 1975 AND field <> 'Unknown' AND year % 2 = 0")
+def _(x: Fixture) -> DataFrame:
+    """A manifest that names the even years' files: the others aren't read."""
+    path = x.fresh()
+    flat = x.works_flat.repartition(8, "publication_year").withColumn("y", F.col("publication_year"))
+    flat.write.partitionBy("y").parquet(f"{path}/flat")
+    there = parts.listed(x.spark, f"{path}/flat", "*.parquet").where(F.regexp_extract("part", "y=(\\d+)", 1).cast("int") % 2 == 0)
+    there.agg(F.collect_list(F.struct(F.col("path").alias("url"))).alias("files")).write.json(f"{path}/manifest")  # names of files
+    taken = parts.earlier_parts(x.spark, f"{path}/out", x.config.before_year, per_batch=9)
+    taken.run(parts.manifest_parts(x.spark, f"{path}/manifest"))
+    return taken.table("earlier")
+
+
+@_query("mutual_pairs_resumed", "SELECT 'W' || a AS paper_a, 'W' || b AS paper_b FROM pairs")
+def _(x: Fixture) -> DataFrame:
+    """Pairs by batches, two of which are built again."""
+    batches = PairBatches(x.spark, x.fresh(), x.config.pair_batches)
+    batches.deal(x.clean_edges, files=1)
+    batches.run()
+    for k in (3, 7):
+        batches.forget(k)
+    batches.run()
+    return batches.pairs()

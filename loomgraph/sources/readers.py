@@ -29,6 +29,12 @@ def works_json(spark: SparkSession, path: str | list[str], suffix: str = "*.gz",
     return reader.json([r["path"] for r in names.collect()])  # at most max_files names
 
 
+def works_variant(spark: SparkSession, path: str | list[str], suffix: str = "*.gz", options: dict[str, str] = {}) -> DataFrame:
+    """work: each JSON line under path as a VARIANT, which tells a null from what isn't there; null where a line is no JSON."""
+    reader = spark.read.options(**options).option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
+    return reader.text(path).select(F.try_parse_json("value").alias("work"))
+
+
 def manifest(spark: SparkSession, path: str, options: dict[str, str] = {}) -> DataFrame:
     """url of each file that a manifest lists."""
     return spark.read.options(**options).schema(schemas.MANIFEST).option("multiLine", True).json(path).select(F.explode("files.url").alias("url"))

@@ -57,7 +57,9 @@ def test_diversity(spark):
     assert rows(before) == [(1, 1), (2, 0)] and rows(after) == [(1, 2), (2, 0)]
     rated = metrics.with_diversity(a, before)
     assert {r["id"]: r["diversity_count"] for r in rated.collect()} == {"W1": 1, "W2": 0, "W3": 0, "W4": 0, "W6": 0}
-    change = metrics.diversity_before_after(rated, after).first()
+    both = metrics.diversity_both(e, a, earlier)
+    assert rows(both) == [(1, 1, 2), (2, 0, 0)]
+    change = metrics.diversity_before_after(rated, both).first()
     assert tuple(change) == (2000, 2, 0.5, 1.0, 0.5, 50.0)
     assert rows(graph.clean_attributes(a).select("id")) == [("W1",), ("W2",), ("W6",)]
     assert rows(graph.isolated(a, e).select("id")) == [("W6",)] and graph.retain_connected(a, e).count() == 4
@@ -67,9 +69,10 @@ def test_diversity_of_many_fields(spark):
     a = papers(spark, [(f"W{k}", 2000, f"F{k}") for k in range(1, 201)])
     e = edges(spark, W900=";".join(f"W{k}" for k in range(1, 201)))
     assert rows(metrics.diversity_count(e, metrics.field_lookup(a))) == [(900, 200)]
-    more = papers(spark, [(f"W{k}", 2000, f"F{k}") for k in range(1, 301)])
-    with pytest.raises(Exception, match="more than 256 fields"):
-        metrics.diversity_count(edges(spark, W900=";".join(f"W{k}" for k in range(1, 301))), metrics.field_lookup(more)).collect()
+    more = papers(spark, [(f"W{k}", 2000, f"F{k % 700}") for k in range(1, 1001)])
+    late = spark.createDataFrame([(k, f"F{k % 900}") for k in range(1001, 2001)], "id bigint, field string")
+    e = edges(spark, W900=";".join(f"W{k}" for k in range(1, 2001)), W5000="W1;W701;W2", W5001="W5001")
+    assert rows(metrics.diversity_both(e, more, late)) == [(5000, 2, 2), (5001, 0, 0), (900, 700, 900)]
 
 
 def _cohort(spark, counts):

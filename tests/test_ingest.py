@@ -47,6 +47,21 @@ def test_nested_records(spark, tmp_path):
     assert [tuple(r) for r in ingest.edges(works).collect()] == [("W1", "W2;W3")]
 
 
+def test_a_null_name_is_told_from_a_missing_one(spark, tmp_path):
+    more = [work(10, 1980, [{"field": {}}]), work(11, 1980, ["text"]), work(12, 1980, {"no": "list"}), work(13, "1980", named("B")), work(14, 1980, named("Ü"), None, None), work(15, 1980, ["x", {"field": {"display_name": "second"}}])]
+    write(tmp_path / "v/part.gz", WORKS + more)
+    with gzip.open(tmp_path / "v/part.gz", "at") as f:
+        f.write('{"id": "broken\n')
+    works = ingest.from_variant(readers.works_variant(spark, str(tmp_path / "v")))
+    got = {r["id"]: (r["year"], r["field"], r["author"]) for r in ingest.attributes(works).collect()}
+    unknown = (1980, "Unknown", "")
+    assert got == {
+        "W1": (1975, "A", "x; y"), "W2": (2023, "Unknown", ""), "W3": unknown, "W4": unknown, "W5": (1980, None, ""), "W10": unknown, "W11": unknown,
+        "W12": unknown, "W13": (1980, "B", ""), "W14": (1980, "Ü", ""), "W15": unknown,
+    }
+    assert [tuple(r) for r in ingest.edges(works).collect()] == [("W1", "W2;W3")]
+
+
 def test_whole_files_are_sampled(spark, tmp_path):
     for k in range(3):
         write(tmp_path / f"{k}/part.gz", [work(k + 1, 2000), work(k + 11, 2000)])
@@ -200,6 +215,11 @@ def test_stages(spark, tmp_path):
         stages.run(["pairs"])
     assert stages.run() == Stages.NAMES and stages.run() == []
     assert sorted(map(tuple, stages.read("pairs").collect())) == [("W1", "W2"), ("W1", "W3")]
-    assert stages.run(["pairs"], again=True) == ["pairs"]
+    assert stages.run(["pairs"], again=True) == ["pairs", "n_mutual", "mean_per_year", "rate_per_year", "decile_share", "decile_rate", "citation_lag"]  # none is older than what it is made of
+    assert stages.run(["citation_lag"], again=True) == ["citation_lag"]
+    reports = {name: df.collect() for name, df in stages.reports().items()}
+    assert [tuple(r) for r in reports["growth"]] == [(2000, 2001, 1, 4, 300.0)] or len(reports["growth"]) == 1
+    assert {r["threshold"] for r in reports["citation_lag"]} == {"same_year", "within_1_year", "within_2_years", "within_3_years"}
+    assert reports["deciles"][0]["n_split"] == 0 and sum(r["papers"] for r in reports["diversity_distribution"]) == stages.read("rated").count()
     assert {r["stage"]: r["n_rows"] for r in stages.summary().collect()}["pairs"] == 2
     assert sum(r["n_mutual"] for r in stages.read("n_mutual").collect()) == 4
