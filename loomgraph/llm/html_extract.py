@@ -10,15 +10,14 @@ Character references are decoded as HTML5 does; white space inside a block becom
 Comments, scripts, styles, templates and form controls' values have no blocks.
 
 Cases: null or empty html, or a page without main blocks: text '' and n_chars 0. Unclosed tags, comments and scripts end
-with the page. Plain text without tags is one block. Of very deep pages the innermost PATH ancestors make features. Rows that
-repeat give rows that repeat; extra columns play no part; an empty table gives no rows.
+with the page. Plain text without tags is one block. All ancestors make features, however deep the page. Rows that repeat
+give rows that repeat; extra columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +30,6 @@ from .shared import arrow_batches, table
 
 TRAIN_PAGES, EPOCHS, RATE, DECAY = 700, 6, 0.3, 1e-4
 
-#: Ancestors (the innermost) that make a block's features, so that deep pages stay linear.
-PATH = 32
 #: Attributes of a tag: a quoted value behind "=" may hold ">"; a quote that is never closed is like any other character.
 ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TOKEN = re.compile(
@@ -55,18 +52,51 @@ def _path_key(tag: str, attrs: str) -> tuple[str, ...]:
     return (tag, *sorted(set(names)))
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """(text, path of ancestors, characters in links) of each leaf block, in page order."""
-    out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, ...]] = []
+class _Place:
+    """Where a block stands: features of all its ancestors, the innermost tag, and how many there are (html and body don't count)."""
+
+    __slots__ = ("tag", "found", "own", "deep")
+
+    def __init__(self, tag: str = "", found: frozenset = frozenset(), own: str = "", deep: int = 0):
+        self.tag, self.found, self.own, self.deep = tag, found, own, deep
+
+    def inside(self, key: tuple[str, ...], known: frozenset | None) -> _Place:
+        plain = key[0] not in ("html", "body")
+        return _Place(key[0], _grown(self.found, key, known), key[0] if plain else self.own, self.deep + plain)
+
+
+@lru_cache(maxsize=50_000)
+def _grown(found: frozenset, key: tuple[str, ...], known: frozenset | None) -> frozenset:
+    """With the features of one more ancestor: of those known only, so that a set is no larger than a model, however deep it is."""
+    tag, *words = key
+    new = {f"name:{w}" for w in words} | {f"{tag}.{w}" for w in words}
+    if tag not in ("html", "body"):
+        new.add(f"in:{tag}")
+    new = {f for f in new if f not in found and (known is None or f in known)}
+    return found | new if new else found
+
+
+#: Open elements that an end tag on the right doesn't reach over.
+WALLS, BEHIND = ("table", "article", "body"), frozenset(("p", "li", "td", "tr"))
+
+
+def blocks(page: str, known: frozenset | None = None) -> list[tuple[str, _Place, int]]:
+    """(text, place, characters in links) of each leaf block, in page order. known: features to keep, all unless given."""
+    out: list[tuple[str, _Place, int]] = []
+    root = _Place()
+    stack: list[_Place] = []
     parts: list[str] = []
-    inline: list[tuple[str, ...]] = []
+    inline: list[_Place] = []
     links = [0, 0]  # open <a>, characters inside
-    held: list[tuple] = []
-    opened: Counter[str] = Counter()
+    held = root
+    opened: dict[str, list[int]] = {}  # places in the stack of open elements, by tag
+
+    def innermost() -> _Place:
+        return inline[-1] if inline else stack[-1] if stack else root
 
     def close(k: int):
-        opened.subtract(key[0] for key in stack[k:])
+        for place in stack[k:]:
+            opened[place.tag].pop()
         del stack[k:]
 
     def flush():
@@ -74,26 +104,26 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append((text, tuple(held or stack[-PATH:]), min(links[1], len(text))))
-            held.clear()
+                out.append((text, held, min(links[1], len(text))))
         links[1] = 0
 
     def pop(tag: str) -> bool:
-        for k in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
-            if stack[k][0] == tag:
-                close(k)
-                return True
-            if stack[k][0] in ("table", "article", "body") and tag in ("p", "li", "td", "tr"):
-                return False
-        return False
+        if not opened.get(tag):
+            return False
+        k = opened[tag][-1]
+        if tag in BEHIND and any(opened[w][-1] > k for w in WALLS if opened.get(w)):
+            return False
+        close(k)
+        return True
 
     def text_at(a: int, b: int):
+        nonlocal held
         if b > a:
             chunk = page[a:b]
             if "&" in chunk:
                 chunk = entities.unescape(chunk)
             if not parts and chunk.strip():
-                held[:] = stack[-PATH:] + inline[-PATH:]
+                held = innermost()
             if parts or chunk.strip():
                 parts.append(chunk)
                 if links[0]:
@@ -116,7 +146,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
                 if m[2]:
                     del inline[-1:]
                 else:
-                    inline.append(_path_key(tag, m[4]))
+                    inline.append(innermost().inside(_path_key(tag, m[4]), known))
             continue
         flush()
         inline.clear()
@@ -124,36 +154,33 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             if pop(tag):
                 links[0] = 0
         else:
-            if stack and stack[-1][0] == "p":
+            if stack and stack[-1].tag == "p":
                 close(-1)
             for open_tag in ENDS.get(tag, ()):
-                if stack and stack[-1][0] == open_tag:
+                if stack and stack[-1].tag == open_tag:
                     close(-1)
             if tag not in VOID:
-                stack.append(_path_key(tag, m[4]))
-                opened[tag] += 1
+                opened.setdefault(tag, []).append(len(stack))
+                stack.append(innermost().inside(_path_key(tag, m[4]), known))
     text_at(at, len(page))
     flush()
     return out
 
 
 @lru_cache(maxsize=50_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    tags = [p[0] for p in path if p[0] not in ("html", "body")]
-    found = {f"in:{t}" for t in tags} | {f"name:{w}" for p in path for w in p[1:]}
-    found |= {f"{p[0]}.{w}" for p in path for w in p[1:]}
-    found.add(f"own:{tags[-1] if tags else ''}")
-    found.add(f"deep:{min(len(tags), 5)}")
+def _in_order(found: frozenset) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
-def features(page_blocks: list[tuple[str, tuple, int]]) -> list[tuple[str, ...]]:
+def features(page_blocks: list[tuple[str, _Place, int]]) -> list[tuple[str, ...]]:
     n, out = len(page_blocks), []
-    for k, (text, path, linked) in enumerate(page_blocks):
+    for k, (text, place, linked) in enumerate(page_blocks):
         size = len(text)
         out.append(
             (
-                *_path_features(path),
+                *_in_order(place.found),
+                f"own:{place.own}",
+                f"deep:{min(place.deep, 5)}",
                 f"len:{min(size.bit_length(), 10)}",
                 f"link:{4 * linked // max(1, size)}",
                 f"end:{text[-1] if text[-1] in '.!?:,' else ''}",
@@ -172,6 +199,13 @@ class Crf:
         self.weight: dict[str, float] = {}
         self.move = [[0.0, 0.0], [0.0, 0.0]]
         self.first = 0.0
+        self._known: frozenset | None = None
+
+    def known(self) -> frozenset:
+        """The features that have a weight; of others nothing depends on."""
+        if self._known is None or len(self._known) != len(self.weight):
+            self._known = frozenset(self.weight)
+        return self._known
 
     def emissions(self, feats) -> list[float]:
         get = self.weight.get
@@ -253,7 +287,7 @@ def model() -> Crf:
 
 
 def main_text(page: str | None, crf: Crf) -> str:
-    found = blocks(page) if page else []
+    found = blocks(page, crf.known()) if page else []
     if not found:
         return ""
     labels = crf.viterbi(crf.emissions(features(found)))

@@ -134,13 +134,20 @@ def _main(r: random.Random) -> tuple[str, list[str]]:
 
 def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[str]]]:
     r, pages = random.Random(seed), []
+    bare_pages = random.Random(seed + 1)
     for _ in range(n):
         body, texts = _main(r)
         if r.random() < 0.12:
             body = body + _part(r, "comments")
         tag = r.choice(["article", "article", "main", "div", "div", "section"])
-        body = f"<{tag}{_attr(r, 'main', tag in ('div', 'section'))}>{body}</{tag}>"
-        for _ in range(r.choice((0, 0, 1, 2))):
+        bare = bare_pages.random()
+        if bare < 0.04:  # a page of text alone
+            pages.append((plain := _prose(bare_pages, 3, 80), [plain]))
+            continue
+        if bare < 0.16:  # an article right under the body
+            tag = ""
+        body = f"<{tag}{_attr(r, 'main', tag in ('div', 'section'))}>{body}</{tag}>" if tag else body
+        for _ in range(r.choice((0, 0, 1, 2)) if tag else 0):
             wrap = r.choice(["div", "div", "main", "section"])
             side = _part(r, "side") if r.random() < 0.4 else ""
             body = f"<{wrap}{_attr(r, r.choice(('wrap', 'wrap', 'main')))}>{body}{side}</{wrap}>"
