@@ -123,15 +123,17 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of equal texts, with its columns as they came."""
-    verdicts = exact_dedup(docs).select("bucket", "key", "text_sha256", "k2", "kept")
-    # of rows that share the id that stays, those of one k2; of rows that share that, too, one
-    rows = materialize(verdicts.groupBy("bucket", "key", "text_sha256", "k2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    stays = rows.where("kept").groupBy("bucket", "key", "text_sha256").agg(F.min("k2").alias("stays"))
-    judged = materialize(rows.join(stays, ["bucket", "key", "text_sha256"]).select(F.col("k2").alias("__k2"), (F.col("k2") == F.col("stays")).alias("stays"), "n"))
+    verdicts = exact_dedup(docs).select("bucket", "key", "text_sha256", F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), "k2", "kept")
+    # of rows that share the id that stays, those of one (id, hash); of rows that share that, too, one
+    rows = materialize(verdicts.groupBy("bucket", "key", "text_sha256", "k1", "k2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    stays = rows.where("kept").groupBy("bucket", "key", "text_sha256").agg(F.min(F.struct("k1", "k2")).alias("stays"))
+    own = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2"))
+    judged = materialize(rows.join(stays, ["bucket", "key", "text_sha256"]).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), own.alias("stays"), "n"))
     discard(rows)
-    keyed = docs.withColumn("__k2", row_key()[1])
-    once = keyed.join(judged.where("not stays or n > 1").select("__k2"), "__k2", "left_anti")
-    more = keyed.join(judged.where("stays and n > 1").select("__k2"), "__k2", "left_semi").dropDuplicates(["__k2"])
+    keys, pair = row_key(), ["__k1", "__k2"]
+    keyed = docs.select("*", keys[0].alias("__k1"), keys[1].alias("__k2"))
+    once = keyed.join(judged.where("not stays or n > 1").select(*pair), pair, "left_anti")
+    more = keyed.join(judged.where("stays and n > 1").select(*pair), pair, "left_semi").dropDuplicates(pair)
     return once.unionByName(more).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

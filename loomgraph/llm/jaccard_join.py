@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, cls, kept for each document row. kept: the component's first by id, then by k2."""
     rows, classes = jaccard_components(docs)
-    least, kept = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("rep.doc_id")), (F.col("n") == 0) | (F.col("k2") == F.col("rep.k2"))
+    least, kept = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("rep.doc_id")), (F.col("n") == 0) | ((F.col("k2") == F.col("rep.k2")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id")))
     return rows.join(classes, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), "cls", "k2", kept.alias("kept"))
 
 
@@ -365,8 +365,9 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     Rows alike in id and text share a verdict. Where no document of a component has an id, one text of it stays.
     """
-    gone = jaccard_join(docs).where(~F.col("kept")).select(F.col("k2").alias("__gone")).distinct()
-    return docs.join(gone, row_key()[1] == F.col("__gone"), "left_anti")
+    gone = jaccard_join(docs).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = row_key()
+    return docs.join(gone, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

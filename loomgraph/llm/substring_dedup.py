@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import arrow_batches, batches, column_bytes, discard, materialize, mix, prefix_hash, row_key, signed, span_hash, table
 from .suffix_array import common_prefixes, suffix_array
@@ -289,10 +290,12 @@ def cut(docs: DataFrame) -> DataFrame:
     """The documents with __n_bytes, __n_removed, __n_spans, __kept_sha256 and __kept, the text that stays (bytes that a cut leaves broken go from it)."""
     spans = intervals(docs).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"})
     keys = row_key()
-    plain = docs.select(*docs.columns, keys[0].alias("__k1"), keys[1].alias("__k2"), F.coalesce("text", F.lit("")).alias("__text"))
-    joined = plain.join(spans, ["__k1", "__k2"], "left").select(*docs.columns, "__spans", "__text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_cut, f"{schema}, __n_bytes long, __n_removed long, __n_spans long, __kept_sha256 string, __kept string")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")  # names with dots can't go to Python by themselves
+    plain = docs.select(row, keys[0].alias("__k1"), keys[1].alias("__k2"), F.coalesce("text", F.lit("")).alias("__text"))
+    joined = plain.join(spans, ["__k1", "__k2"], "left").select("__row", "__spans", "__text")
+    counted = T.StructType.fromDDL("__n_bytes long, __n_removed long, __n_spans long, __kept_sha256 string, __kept string")
+    found = joined.mapInArrow(_cut, T.StructType([joined.schema["__row"], *counted]))
+    return found.select(*(F.col(f"__row.`{c}`") for c in docs.columns), *counted.names)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

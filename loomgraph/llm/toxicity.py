@@ -312,7 +312,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with their columns as they came."""
-    named = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "doc_id")
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "lang", "doc_id")
     return toxicity(named, labels).where(~F.col("toxic")).select("row.*") if docs.columns else docs
 
 

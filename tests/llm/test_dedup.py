@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tests.llm.conftest import edited, prose, thue_morse
 
-from loomgraph.llm import components, exact_dedup, jaccard_join, substring_dedup
+from loomgraph.llm import toxicity, components, exact_dedup, jaccard_join, substring_dedup
 from loomgraph.llm.suffix_array import common_prefixes, induced_sort
 
 
@@ -264,3 +264,16 @@ def test_suffix_arrays(monkeypatch, bulk):
             while max(a, b) + k < len(text) and text[a + k] == text[b + k]:
                 k += 1
             assert common[b] == min(12, k)
+
+
+def test_columns_of_any_name_stay(spark):
+    """Columns with dots and clashing names go through every filter as they came."""
+    text = prose(70, 60)
+    rows = [(1, text, "en", "s", len(text), "x", 1), (2, text, "en", "s", len(text), "y", 2), (3, prose(71, 40), None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `__text` long")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for keep, n in ((exact_dedup.keep_first, 2), (jaccard_join.keep_representatives, 2), (lambda d: toxicity.keep_clean(d, labels), 3)):
+        got = keep(docs)
+        assert got.columns == docs.columns and got.count() == n
+    got = substring_dedup.remove_repeats(docs.withColumnRenamed("__text", "a b"))
+    assert got.columns == [*docs.columns[:-1], "a b"] and {r["a.b"] for r in got.collect()} == {"x", "y", None}
