@@ -171,40 +171,45 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _compare(code: int, crossed: bool, rows: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(cid, links, least cid of the local component) of the classes that have links in this bucket, or None. crossed: only between sides."""
-    cid, home, side, core, weight = (rows[c] for c in ("cid", "home", "side", "core", "n"))
-    pairs = []
-    where, units = _units(rows["vector"], kind)
-    for own, x in zip(where, units, strict=True):
+def _pairs(crossed: bool, rows: dict, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a bucket's classes with a cosine of SIMILAR or more, one of them at home there. crossed: only between sides."""
+    home, side, core = (rows[c] for c in ("home", "side", "core"))
+    found = [(np.zeros(0, np.int64),) * 2]
+    for own, x in zip(*_units(rows["vector"], kind), strict=True):
         g = x @ x.T >= SIMILAR
         g &= home[own][:, None] | home[own][None, :]
         g &= (core[own][:, None] != core[own][None, :]) | (core[own] < 0)[:, None]
         if crossed:
             g &= side[own][:, None] != side[own][None, :]
         i, j = np.nonzero(np.triu(g, 1))
-        if len(i):
-            c = codes(x)
-            here = np.concatenate([_first_meeting(c[i[k : k + 50_000]], c[j[k : k + 50_000]]) == code for k in range(0, len(i), 50_000)])
-            pairs.append((own[i[here]], own[j[here]]))
-    if not pairs:
-        return None
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    if not len(a):
-        return None
-    links = np.zeros(len(cid), np.int64)
-    np.add.at(links, a, weight[b])
-    np.add.at(links, b, weight[a])
-    order = np.argsort(cid)
-    rank = np.empty(len(cid), np.int64)
-    rank[order] = np.arange(len(cid))
-    least = cid[order][_labels(len(cid), rank[a], rank[b])][rank]
+        found.append((own[i], own[j]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _counted(held: pa.RecordBatch, a: np.ndarray, b: np.ndarray, kind: str) -> pa.RecordBatch:
+    """cid, links, least cid of the local component, of the pairs (positions a, b in held) that meet first where they were found."""
+    code, cid, weight = (held.column(c).to_numpy() for c in ("code", "cid", "n"))
+    own, once = np.unique(cid[np.concatenate([a, b])], return_index=True)
+    vectors = held.column("vector").take(pa.array(np.concatenate([a, b])[once])).to_pylist()
+    here = np.zeros(len(a), bool)
+    x, y = np.searchsorted(own, cid[a]), np.searchsorted(own, cid[b])
+    for some, units in zip(*_units(vectors, kind), strict=True):
+        buckets, place = codes(units), np.full(len(own), -1)
+        place[some] = np.arange(len(some))
+        for k in range(0, len(a), 50_000):
+            i, j = place[x[k : k + 50_000]], place[y[k : k + 50_000]]
+            both = i >= 0
+            here[k : k + 50_000][both] = _first_meeting(buckets[i[both]], buckets[j[both]]) == code[a[k : k + 50_000]][both]
+    a, b, x, y = a[here], b[here], x[here], y[here]
+    links = np.zeros(len(own), np.int64)
+    np.add.at(links, x, weight[b])
+    np.add.at(links, y, weight[a])
     some = links > 0
-    return cid[some], links[some], least[some]
+    return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (own, links, own[_labels(len(own), x, y)])], ["cid", "links", "least"])
 
 
 def _meet(kind: str):
-    names = ("cid", "home", "side", "core", "n")
+    names = ("home", "side", "core")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -220,15 +225,16 @@ def _meet(kind: str):
             if batch is not None:  # the last bucket may go on
                 left = held.slice(int(starts[-1]))
                 starts, ends = starts[:-1], ends[:-1]
-            out = []
+            found = []
             for s, e in zip(starts, ends, strict=True):
                 if e - s > 1:
                     own = held.slice(int(s), int(e - s))
                     rows = {c: own.column(c).to_numpy(zero_copy_only=False) for c in names} | {"vector": own.column("vector").to_pylist()}
-                    if found := _compare(int(keys[0][s]), keys[1][s] != keys[2][s], rows, kind):
-                        out.append(found)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["cid", "links", "least"])
+                    a, b = _pairs(keys[1][s] != keys[2][s], rows, kind)
+                    if len(a):
+                        found.append((a + s, b + s))
+            if found:
+                yield _counted(held, *(np.concatenate(x) for x in zip(*found, strict=True)), kind)
 
     return run
 

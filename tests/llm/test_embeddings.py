@@ -43,7 +43,8 @@ def clusters(seed, sizes, dim, spread):
 def check(spark, rows, block, kind="float"):
     frame = spark.createDataFrame([(i, v, k) for k, (i, v) in enumerate(rows)], f"vec_id long, embedding array<{kind}>, label int").repartition(4)
     got = sorted(map(tuple, near_embeddings(frame, block).collect()), key=repr)
-    want = sorted(((i, *brute(rows)[k], i == brute(rows)[k][1]) for k, (i, _) in enumerate(rows)), key=repr)
+    found = brute(rows)
+    want = sorted(((i, *found[k], i == found[k][1]) for k, (i, _) in enumerate(rows)), key=repr)
     return got, want
 
 
