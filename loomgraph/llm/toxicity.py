@@ -251,13 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mo
     return m
 
 
-def calibrate(m: Model, docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> None:
-    """Sets the thresholds on all labelled documents that the model wasn't fitted to, by counts of their scores."""
-    spark = docs.sparkSession
+def calibrate(m: Model, scored: DataFrame, labels: DataFrame, learn: Column | None = None) -> None:
+    """Sets the thresholds on all labelled documents that the model wasn't fitted to, by counts of their scores. scored: doc_id, lang, score."""
+    spark = scored.sparkSession
     rows = _teaching(labels, learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # texts stay where they are: scores are joined to labels, not texts
-    slim = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text"), m)
-    slim = slim.select("doc_id", "lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    slim = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     ids = F.explode(F.split(F.lit(" ".join(map(str, m.fitted)) or "-"), " "))  # bounded by the sample
     fitted = spark.range(1, numPartitions=1).select(ids.alias("id")).select(F.col("id").try_cast("long").alias("doc_id"), F.lit(True).alias("fitted"))
     slim = slim.join(rows, "doc_id").join(F.broadcast(fitted), "doc_id", "left").withColumn("fitted", F.col("fitted").isNotNull())
@@ -303,17 +301,24 @@ def threshold_of(model: Model | None, lang: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
-    """The documents' columns with `score` and `toxic`."""
+    """The documents' columns with `score` and `toxic`. Each text is scored once: the scored rows are a table that calibration reads by its slim columns."""
     model = train(docs, labels, learn)
+    scored = score(docs, model)
     if model is not None:
-        calibrate(model, docs, labels, learn)
-    return score(docs, model).withColumn("toxic", F.col("score") >= threshold_of(model, F.coalesce(F.col("lang"), F.lit(""))))
+        scored = materialize(scored)
+        calibrate(model, scored, labels, learn)
+    return scored.withColumn("toxic", F.col("score") >= threshold_of(model, F.coalesce(F.col("lang"), F.lit(""))))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with their columns as they came."""
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "lang", "doc_id")
-    return toxicity(named, labels).where(~F.col("toxic")).select("row.*") if docs.columns else docs
+    model = train(docs, labels)
+    if model is None:
+        return docs
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    scored = materialize(score(docs.select(row, "text", "lang", "doc_id"), model).drop("text"))  # the text is in the row
+    calibrate(model, scored, labels)
+    return scored.where(F.col("score") < threshold_of(model, F.coalesce(F.col("lang"), F.lit("")))).select("row.*")
 
 
 def fold(doc_id: Column) -> Column:
