@@ -81,8 +81,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-def oracle(known=KNOWN) -> str:
-    """The same in DuckDB's SQL. Its patterns have no look-ahead: what it would spare is set apart first and put back after."""
+def oracle(known=KNOWN, digests=DIGESTS) -> str:
+    """The same in DuckDB's SQL, digests included. Its patterns have no look-ahead: what it would spare is set apart first and put back after."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
     def form(text: str) -> str:
@@ -96,13 +96,13 @@ def oracle(known=KNOWN) -> str:
         return f"regexp_replace({out}, ' ?\\n ?', chr(10), 'g')"
 
     whole = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
-    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, _, t in known)
+    rows, given = (", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs) for pairs in ([(i, t) for i, _, t in known], digests))
     return f"""
-    WITH k AS (SELECT DISTINCT license, {whole(form("text"))} AS unit FROM (VALUES {rows}) AS v(license, text)),
+    WITH k AS (SELECT license, sha256({whole(form("text"))}) AS digest FROM (VALUES {rows}) AS v(license, text) UNION SELECT license, digest FROM (VALUES {given}) AS v(license, digest)),
     f AS (SELECT doc_id, row_number() OVER () AS row, {form("text")} AS form FROM documents),
     l AS (SELECT doc_id, row, string_split(form, chr(10)) AS lines FROM f),
     u AS (SELECT doc_id, row, -1 AS line, {whole("form")} AS unit FROM f UNION ALL SELECT doc_id, row, i - 1, trim(lines[i]) FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)),
-    m AS (SELECT u.doc_id, u.row, u.line, k.license FROM u LEFT JOIN k ON k.unit = u.unit AND u.unit <> '')
+    m AS (SELECT u.doc_id, u.row, u.line, k.license FROM u LEFT JOIN k ON u.unit <> '' AND k.digest = sha256(u.unit))
     SELECT doc_id, max(license) FILTER (WHERE line < 0) AS license, coalesce(array_to_string(list_sort(list(DISTINCT license) FILTER (WHERE license IS NOT NULL)), ';'), '') AS licenses,
            count(*) FILTER (WHERE line >= 0 AND license IS NOT NULL) AS n_lines, (min(line) FILTER (WHERE line >= 0 AND license IS NOT NULL))::INTEGER AS first_line
     FROM m GROUP BY doc_id, row
