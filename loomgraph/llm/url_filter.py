@@ -5,12 +5,14 @@ Markov model over the characters of host || path, orders 0..ORDER, by Witten-Bel
 longest context: p_k(c | ctx) = (n(ctx c) + t(ctx) * p_{k-1}(c | shorter ctx)) / (n(ctx) + t(ctx)), with t the distinct
 successors of ctx in that class. All counts are over every page; hot contexts meet map-side before they are shuffled.
 Each gram's log-ratio is worked out once and joined to the characters of the distinct host-and-path strings, so a string
-that many pages share is scored once.
+that many pages share is scored once. The COMMON commonest grams are broadcast; any other is at most one of COMMON + 1 characters,
+so the shuffled join of the rest has no hot key.
 
 score = (log p_accepted - log p_rejected) / (characters + 1). Calibration: labelled strings that the counts leave out (those
-whose MD5 begins with 0, 1 or 2; if these lack a class, all labelled ones), weighted so that both classes count alike, in
+whose MD5 begins with 0, 1 or 2), weighted so that both classes count alike, in
 CELLS bins of the score; the threshold is the middle between two bins that has the fewest weighted errors (ties: nearest to
-0). Below it the verdict is block.
+0). Below it the verdict is block. `held_out_error` is the mean of both classes' shares on the wrong side of it, among the held-out strings' pages (which
+also choose it); null where these lack a class: then the threshold is 0, where both models are as likely.
 
 Cases: null url or no `://`: host and path empty, score 0. No labelled URL of one class: the ratio is 0 everywhere and
 the threshold 0, so unruled URLs are allowed. Very long URLs are taken whole. A rule's host fits itself and its subdomains; longest rule (host, then
@@ -30,6 +32,8 @@ ORDER = 4
 #: Size of the alphabet that order 0 falls back to.
 ALPHABET = 256
 CELLS, WIDTH = 2001, 0.01
+#: Grams whose ratios are broadcast, ORDER + 1 characters each.
+COMMON = 4096
 START, END = "\u0002", "\u0003"
 
 
@@ -61,15 +65,15 @@ def _grams(strings: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def model(strings: DataFrame) -> DataFrame:
-    """(gram, ratio): log p_accepted - log p_rejected of the last character after the others, for every gram of the strings.
+    """(gram, ratio, n): log p_accepted - log p_rejected of the last character after the others, for every gram of the strings, and how often it comes.
 
     strings: s, accepted, rejected (pages with that string in either class; 0 where it has no label).
     """
-    counts = _grams(strings, ["accepted", "rejected"]).groupBy("gram").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))
+    counts = _grams(strings, ["accepted", "rejected"]).groupBy("gram").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"), F.count(F.lit(1)).alias("n"))
     out = materialize(counts)
     probabilities = None
     for k in range(ORDER + 1):
-        here = out.select(F.substring("gram", ORDER + 1 - k, k + 1).alias("g"), "a", "r").groupBy("g").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        here = out.select(F.substring("gram", ORDER + 1 - k, k + 1).alias("g"), "a", "r", "n").groupBy("g").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.sum("n").alias("n"))
         here = here.withColumn("ctx", F.substring("g", 1, k))
         ctx = here.groupBy("ctx").agg(
             F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr")
@@ -80,8 +84,9 @@ def model(strings: DataFrame) -> DataFrame:
         else:
             here = here.withColumn("shorter", F.substring("g", 2, k)).join(probabilities, "shorter")
         p = lambda n, total, kinds, q: F.when(F.col(total) > 0, (F.col(n) + F.col(kinds) * F.col(q)) / (F.col(total) + F.col(kinds))).otherwise(F.col(q))
-        probabilities = here.select(F.col("g").alias("shorter"), p("a", "na", "ta", "qa").alias("qa"), p("r", "nr", "tr", "qr").alias("qr"))
-    return materialize(probabilities.select(F.col("shorter").alias("gram"), (F.log("qa") - F.log("qr")).alias("ratio")))
+        times = ["n"] if k == ORDER else []
+        probabilities = here.select(F.col("g").alias("shorter"), p("a", "na", "ta", "qa").alias("qa"), p("r", "nr", "tr", "qr").alias("qr"), *times)
+    return materialize(probabilities.select(F.col("shorter").alias("gram"), (F.log("qa") - F.log("qr")).alias("ratio"), "n"))
 
 
 def score_strings(strings: DataFrame) -> DataFrame:
@@ -89,7 +94,10 @@ def score_strings(strings: DataFrame) -> DataFrame:
     strings = strings.withColumn("held", (F.col("accepted") + F.col("rejected") > 0) & F.md5(F.col("s").cast("binary")).rlike("^[012]"))
     counted = lambda c: F.when(F.col("held"), 0).otherwise(F.col(c)).cast("long").alias(c)
     ratios = model(strings.select("s", counted("accepted"), counted("rejected")))
-    scored = _grams(strings, ["s"]).join(ratios, "gram").groupBy("s").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    common = F.broadcast(materialize(ratios.orderBy(F.desc("n"), "gram").limit(COMMON).select("gram", "ratio")))
+    grams = _grams(strings, ["s"])
+    rest = grams.join(common, "gram", "left_anti").join(ratios.select("gram", "ratio"), "gram")
+    scored = grams.join(common, "gram").unionByName(rest).groupBy("s").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
     return strings.join(scored, "s", "left").select("s", "accepted", "rejected", "held", F.when(F.col("s") == "", 0.0).otherwise(F.col("score")).alias("score"))
 
 
@@ -109,19 +117,19 @@ def threshold(scored: DataFrame) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score, threshold for each page."""
+    """page_id, host, path, rule, verdict, score, threshold, held_out_error for each page."""
     judged = ruled(pages, rules)
     s = F.concat("host", "path")
     strings = materialize(
         judged.groupBy(s.alias("s")).agg(F.count_if(F.col("rule_verdict") == "allow").alias("accepted"), F.count_if(F.col("rule_verdict") == "block").alias("rejected"))
     )
     scored = materialize(score_strings(strings))
-    limits = [threshold(scored.where("held")).first()["threshold"], threshold(scored).first()["threshold"], 0.0]  # numbers
-    limit = next(x for x in limits if x is not None)
+    limit, errors = threshold(scored.where("held")).first()
+    limit = 0.0 if limit is None else limit
     return (
         judged.withColumn("s", s)
         .join(scored.select("s", "score"), "s")
-        .select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("score") < limit, "block").otherwise("allow")).alias("verdict"), "score", F.lit(limit).alias("threshold"))
+        .select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("score") < limit, "block").otherwise("allow")).alias("verdict"), "score", F.lit(limit).alias("threshold"), (F.lit(errors).cast("double") / 2).alias("held_out_error"))
     )
 
 
@@ -158,7 +166,7 @@ def oracle() -> str:
     {", ".join(orders)},
     z AS (SELECT s, sum(ln(qa) - ln(qr)) / count(*) AS score FROM x JOIN p{ORDER} p ON p.g = x.gram GROUP BY s),
     scored AS (SELECT l.s, accepted, rejected, held, CASE WHEN l.s = '' THEN 0.0 ELSE score END AS score FROM l JOIN z ON z.s = l.s),
-    {edges("h", "held")}, {edges("w", "true")}
-    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < (SELECT coalesce(th.threshold, tw.threshold, 0.0) FROM th, tw) THEN 'block' ELSE 'allow' END) AS verdict
+    {edges("h", "held")}
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < (SELECT coalesce(th.threshold, 0.0) FROM th) THEN 'block' ELSE 'allow' END) AS verdict
     FROM j JOIN scored ON scored.s = j.s
     """

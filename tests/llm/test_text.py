@@ -52,6 +52,11 @@ def test_url_models_tell_classes_apart(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_held_out_error_is_bounded(spark):
+    rows = [r[0] for r in url_filter.url_filter(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).select("held_out_error").distinct().collect()]
+    assert len(rows) == 1 and 0 <= rows[0] <= 0.1
+
+
 def url_model_brute(strings):
     """score of each string; strings: {s: (accepted, rejected)}. Witten-Bell from counts of every context, by dictionaries."""
     import math
@@ -82,7 +87,9 @@ def url_model_brute(strings):
     return {s: sum(math.log(p(0, g)) - math.log(p(1, g)) for g in grams(s)) / (len(s) + 1) if s else 0.0 for s in strings}
 
 
-def test_url_model_against_brute_force(spark):
+@pytest.mark.parametrize("common", [4096, 5])
+def test_url_model_against_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(url_filter, "COMMON", common)
     strings = {f"{'good' if k % 3 else 'bad'}{k % 11}.org/{'en' if k % 2 else 'es'}/{k}": (k % 3 > 0, 2 * (k % 3 == 0)) for k in range(60)} | {"unseen.net/ü": (0, 0), "": (1, 0)}
     rows = [(s, int(a), int(r)) for s, (a, r) in strings.items()]
     got = url_filter.score_strings(spark.createDataFrame(rows, "s string, accepted long, rejected long")).collect()
@@ -477,6 +484,18 @@ def test_long_licences(spark):
     assert len(got) == len(rows) and all(r["license"] == want.get(r["doc_id"]) for r in got)
 
 
+def test_licence_digests_in_sql(spark):
+    import duckdb
+
+    texts = [p.read_text() for p in sorted(pathlib.Path("/usr/share/common-licenses").glob("*")) if p.is_file()]
+    rows = [(k, t) for k, t in enumerate([*texts, None, "", "Released under the MIT License."])]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert [tuple(r) for r in got] == db.execute(f"SELECT * FROM ({license_scan.oracle()}) ORDER BY doc_id").fetchall()
+
+
 def test_each_known_text_holds_a_word():
     assert all(any(w in canonical(t) for w in license_scan.WORDS) for _, _, t in license_texts.KNOWN)
     folder = pathlib.Path("/usr/share/common-licenses")
