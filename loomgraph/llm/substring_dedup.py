@@ -9,8 +9,9 @@ its context. Equal windows have equal anchors. So:
 2. Contexts that occur twice are removable as they are; their copies meet map-side, however many.
 3. Where different contexts have one anchor, the distinct ones go, once each, to the anchor's shard. Shards are read in
    chunks of whole anchors: a chunk's suffix array is induced (suffix_array), permuted common prefixes of SPAN or more
-   with a neighbour mark the windows that occur again.
-4. An anchor with more than HOT distinct contexts (a passage that very many documents share, at its edges) is split into
+   with a neighbour mark the windows that occur again. Stretches of a short period are cut first, by whole periods: their
+   inner windows all occur again, and two of each phase stay behind to meet those of other contexts.
+4. An anchor with more distinct contexts than HOT of ordinary length have bytes (a passage that very many documents share, at its edges) is split into
    shards first, by windows' place relative to the anchor in blocks and by the bytes common to a block's windows (a run with
    the anchor's gram several times falls into stretches first, so that each window has its place as elsewhere): blocks alone
    with these bytes are done, blocks in which all agree are settled by their count, up to HOT that don't agree are a shard
@@ -41,6 +42,8 @@ from .suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM = 200, 48
 HOT, BLOCKS = 1000, (64, 16, 4, 1)
+#: A text's nearest grams of one anchor whose distances are tried as periods.
+NEAREST = 4
 #: Bytes of contexts that share a suffix array (a shard's are never parted).
 CHUNK = 300_000
 RUN = "anchor long, ctx long, k1 long, k2 long, start long, windows int, lead int, again boolean"
@@ -108,22 +111,54 @@ def _runs(it):
         )
 
 
+def squeezed(raw: np.ndarray, anchor: int, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
+    """The places of raw's bytes that stay when stretches of a short period lose whole periods.
+
+    A stretch of period p keeps span + 2p - 1 bytes or up to p more. So each window that was in raw is still there, those
+    that came again still do, and a window that begins at a place that goes lies in such a stretch: it came again.
+    """
+    at = np.arange(len(raw))
+    own = np.flatnonzero(signed(grams(raw, gram)) == anchor)
+    periods = np.unique(np.concatenate([own[k:] - own[:-k] for k in range(1, NEAREST + 1)]))
+    for p in periods[periods <= span].tolist():
+        text = raw[at]
+        first, end = _stretches(text[p:] == text[:-p])
+        gone = (end + p - first - (span + 2 * p - 1)) // p * p
+        cut = np.flatnonzero(gone >= span)
+        if len(cut):
+            stays = np.ones(len(text), bool)
+            for a, n in zip(first[cut] + 2 * p, gone[cut], strict=True):
+                stays[a : a + n] = False
+            at = at[stays]
+    return at
+
+
 def _bodies(it):
-    """The bytes of the wanted contexts of each text."""
-    names = ["anchor", "ctx", "n", "kinds", "again", "lead", "windows", "body"]
+    """The bytes of the wanted contexts of each text, and where (in what is left) how many were cut as periodic."""
+    names = ["anchor", "ctx", "n", "hot", "again", "lead", "windows", "body", "cuts"]
+    cut_type = pa.list_(pa.struct([("at", pa.int32()), ("gone", pa.int32())]))
     for batch in it:
         raw, off = column_bytes(batch.column(1))
         wanted = batch.column(0)
         flat, ends = wanted.flatten(), wanted.offsets.to_numpy()
         ends = ends - ends[0]
-        got = {k: flat.field(k) for k in ("anchor", "ctx", "n", "kinds", "again", "lead", "windows", "start")}
+        got = {k: flat.field(k) for k in ("anchor", "ctx", "n", "hot", "again", "lead", "windows", "start")}
         text = np.repeat(np.arange(batch.num_rows), np.diff(ends))
         start = off[text] + got["start"].to_numpy()
         stop = start + got["windows"].to_numpy() + SPAN - 1
         for a in range(0, len(text), 20_000):
             b = min(len(text), a + 20_000)
-            body = pa.array([raw[x:y].tobytes() for x, y in zip(start[a:b], stop[a:b], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(got[k].slice(a, b - a) for k in names[:-1]), body], names)
+            bodies = [raw[x:y].tobytes() for x, y in zip(start[a:b], stop[a:b], strict=True)]
+            windows, cuts = got["windows"].slice(a, b - a).to_numpy().copy(), [None] * (b - a)
+            for k in np.flatnonzero((windows > 2 * SPAN) & got["again"].slice(a, b - a).to_numpy(zero_copy_only=False)):
+                whole = raw[start[a + k] : stop[a + k]]
+                at = squeezed(whole, got["anchor"][a + int(k)].as_py())
+                if len(at) < len(whole):
+                    gap = np.flatnonzero(np.diff(at) > 1) + 1
+                    bodies[k], cuts[k] = whole[at].tobytes(), [{"at": int(i), "gone": int(at[i] - at[i - 1] - 1)} for i in gap]
+                    windows[k] = len(at) - SPAN + 1
+            made = [pa.array(windows, pa.int32()), pa.array(bodies, pa.binary()), pa.array(cuts, cut_type)]
+            yield pa.RecordBatch.from_arrays([*(got[k].slice(a, b - a) for k in names[:-3]), *made], names)
 
 
 def repeated(bodies: list[bytes]) -> list[np.ndarray]:
@@ -175,6 +210,7 @@ def _shard(it):
     pa.default_memory_pool().release_unused()
 
 
+BODY = "anchor long, ctx long, n long, hot boolean, again boolean, lead int, windows int, body binary, cuts array<struct<at: int, gone: int>>"
 PART = "key long, same long, n long, anchor long, ctx long, again boolean, first int, place int, windows int, body binary"
 
 
@@ -235,15 +271,18 @@ def intervals(docs: DataFrame) -> DataFrame:
     contexts = materialize(
         held.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), *map(first, ("k1", "k2", "start", "windows", "lead")))
     )
-    mixed = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any_again")).where("least = 1 and (kinds > 1 or any_again)")
-    wanted = contexts.join(mixed.select("anchor", "kinds"), "anchor")
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "n", "kinds", "again", "lead", "windows", "start")).alias("wanted"))
+    size = F.sum(F.col("windows").cast("long") + SPAN - 1)
+    mixed = contexts.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any_again"), (size > HOT * (2 * SPAN - GRAM)).alias("hot")
+    )
+    wanted = contexts.join(mixed.where("least = 1 and (kinds > 1 or any_again)").select("anchor", "hot"), "anchor")
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "n", "hot", "again", "lead", "windows", "start")).alias("wanted"))
     bodies = materialize(
-        text.join(wanted, ["k1", "k2"]).select("wanted", "text").mapInArrow(_bodies, "anchor long, ctx long, n long, kinds long, again boolean, lead int, windows int, body binary")
+        text.join(wanted, ["k1", "k2"]).select("wanted", "text").mapInArrow(_bodies, BODY)
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = bodies.where(F.col("kinds") <= HOT).select(F.col("anchor").alias("shard"), "anchor", "ctx", F.lit(0).alias("first"), "body")
-    split = _split(bodies.where(F.col("kinds") > HOT))
+    shards = bodies.where("not hot").select(F.col("anchor").alias("shard"), "anchor", "ctx", F.lit(0).alias("first"), "body")
+    split = _split(bodies.where("hot"))
     for judged in split:
         shards = shards.unionByName(judged.where("not alike and few").select(F.col("key").alias("shard"), "anchor", "ctx", "first", "body"))
     shards = shards.repartition(n_parts, "shard").sortWithinPartitions("shard", "anchor", "ctx", "first")
@@ -253,7 +292,16 @@ def intervals(docs: DataFrame) -> DataFrame:
         windows = windows.unionByName(stretch)
     whole = contexts.where("n > 1").select("anchor", "ctx", F.lit(0).cast("long").alias("first"), F.col("windows").cast("long").alias("last"))
     windows = windows.join(contexts.where("n > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_anti").unionByName(whole)
-    verdicts = materialize(windows.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("windows")))
+    none = F.lit(None).cast("long")
+    cuts = bodies.where("cuts is not null and n = 1").select("anchor", "ctx", none.alias("first"), none.alias("last"), "cuts")
+    both = windows.unionByName(cuts, allowMissingColumns=True).groupBy("anchor", "ctx")
+    spans = both.agg(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("found"), F.first("cuts", ignorenulls=True).alias("cuts"))
+    # places in what was left become places in the context; what was cut goes too
+    spans = spans.withColumn("cuts", F.coalesce("cuts", F.expr("cast(array() as array<struct<at: int, gone: int>>)")))
+    placed = lambda x: x + F.aggregate(F.filter("cuts", lambda c: c["at"] <= x), F.lit(0).cast("long"), lambda n, c: n + c["gone"])
+    found = F.transform("found", lambda w: F.struct(placed(w["first"]).alias("first"), (placed(w["last"] - 1) + 1).alias("last")))
+    gone = F.transform("cuts", lambda c: F.struct((placed(c["at"]) - c["gone"]).alias("first"), placed(c["at"]).alias("last")))
+    verdicts = materialize(spans.select("anchor", "ctx", F.concat(found, gone).alias("windows")))
     cut = held.select("anchor", "ctx", "k1", "k2", "start").join(verdicts, ["anchor", "ctx"]).select("k1", "k2", "start", F.explode("windows").alias("w"))
     span = F.struct((F.col("start") + F.col("w.first")).alias("a"), (F.col("start") + F.col("w.last") + SPAN - 1).alias("b"))
     out = materialize(cut.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans")))

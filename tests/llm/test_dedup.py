@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -212,6 +213,46 @@ def test_doubled_lines_meet_single_ones(spark, monkeypatch, hot):
     assert sorted(repr(tuple(r)) for r in got) == cut_brute(rows)
 
 
+def periodic(seed: int) -> str:
+    """Stretches of short periods, of several lengths, with other text around."""
+    r = random.Random(seed)
+    out = []
+    for k in range(6):
+        unit = prose(1000 + r.randrange(6), 12)[: r.choice((1, 2, 3, 7, 40, 60, 101, 150))]
+        out += [prose(2000 + seed + k, r.randrange(6)), (unit * 2000)[: r.randrange(100, 1800)]]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_periods_are_cut_and_still_meet(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rows = [(k, periodic(k)) for k in range(40)] + [(100, "q" * 5000), (101, prose(3, 40) + "z" * 200), (102, "z" * 260), (103, ("ab" * 3000) + ("abc" * 2000)), (104, "ab" * 100)]
+    got = substring_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "__n_bytes", "__n_removed", "__n_spans", "__kept_sha256").collect()
+    assert sorted(repr(tuple(r)) for r in got) == cut_brute(rows)
+
+
+def test_squeezed_texts_keep_their_windows():
+    r, cut = random.Random(9), 0
+    for seed in range(60):
+        raw = np.frombuffer(periodic(seed).encode(), np.uint8)
+        h = substring_dedup.signed(substring_dedup.grams(raw, substring_dedup.GRAM))
+        at = substring_dedup.squeezed(raw, int(h[r.randrange(len(h))]))
+        windows = lambda x: collections.Counter(x[i : i + 200] for i in range(len(x) - 199))
+        long, short = windows(raw.tobytes()), windows(raw[at].tobytes())
+        assert long.keys() == short.keys() and all((n > 1) == (short[w] > 1) for w, n in long.items())
+        left = set(at.tolist())
+        assert all(long[raw[i : i + 200].tobytes()] > 1 for i in range(len(raw)) if i not in left)
+        cut += len(at) < len(raw)
+    assert cut > 20
+
+
+def test_long_texts_of_one_letter(spark):
+    docs = spark.createDataFrame([(1, "a" * 5_000_000), (2, "b" + "a" * 4_999_999 + "c"), (3, prose(5, 50))], "doc_id long, text string")
+    start = time.monotonic()
+    got = {r["doc_id"]: (r["__n_removed"], r["__n_spans"]) for r in substring_dedup.cut(docs).collect()}
+    assert got == {1: (5_000_000, 1), 2: (4_999_999, 1), 3: (0, 0)} and time.monotonic() - start < 60
+
+
 def test_removed_passages_leave_the_other_columns(odd, empty):
     new = substring_dedup.remove_repeats(odd)
     assert new.columns == odd.columns
