@@ -1,6 +1,7 @@
 """N-gram Jaccard join: every pair of documents with 100 * |A and B| >= 75 * |A or B| over five-word shingles, exactly.
 
-Documents with equal shingle sets are one class (64-bit digest, checked by a second one); classes are joined.
+Documents with equal shingle sets are one class, named by a 64-bit digest. A second digest tells different sets that share
+one (about N * N / 2**65 names of N sets): these are named by the second. Classes are joined.
 
 1. Prefixes: a set's first floor(n / 4) + 1 shingles in one order for all share one with each partner's. The order puts
    the commonest shingles last (a bounded list from counts over all documents), then goes by hash, so that a line that
@@ -42,10 +43,20 @@ SALTS = 64
 #: Members of a hub that one task searches against as many others.
 BLOCK = 2_000
 LEAF = 16
-TOKEN_BYTES = 5  # of a hash, for verification: two sets' hashes clash with odds of |A| * |B| / 2**40
+#: Bits of a class's first digest; fewer only in tests.
+DIGEST_BITS = 64
+#: Bytes of a hash that sets of up to SHORT shingles keep for verification (longer ones keep all 8): two such sets' hashes
+#: clash with odds of |A| * |B| / 2**40, under 1 / 4000.
+TOKEN_BYTES, SHORT = 5, 16_384
 
 
-def _describe(it):
+def _named(h: np.ndarray, bounds: np.ndarray, clashes: np.ndarray, bits: int) -> np.ndarray:
+    """The class of each set: its digest, or the second one where different sets share the first."""
+    cls = signed(digests(h, bounds) >> np.uint64(64 - bits))
+    return np.where(np.isin(cls, clashes), signed(digests(h, bounds, 1)), cls) if len(clashes) else cls
+
+
+def _describe(it, bits: int):
     """A row for each document (kind 0), and the shingles that are common in the task (kind 1: cls is the shingle, n its count)."""
     held, size = [], 0
     names = ["kind", "doc_id", "k2", "cls", "check", "n"]
@@ -60,7 +71,7 @@ def _describe(it):
         h, bounds = shingle_sets(raw, off)
         held.append(h)
         size += len(h)
-        cls, check = (pa.array(signed(digests(h, bounds, seed))) for seed in (0, 1))
+        cls, check = pa.array(_named(h, bounds, (), bits)), pa.array(signed(digests(h, bounds, 1)))
         own = [batch.column(k).slice(i, j - i) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), *own, cls, check, pa.array(np.diff(bounds))], names)
         if size > COUNTED:
@@ -70,14 +81,14 @@ def _describe(it):
         yield common()
 
 
-def _prefixes(it, common: np.ndarray):
+def _prefixes(it, common: np.ndarray, clashes: np.ndarray, bits: int):
     """(token, common, head, cls, n) of the prefix of each set; a set that comes again soon in a task is left out."""
     seen: set[int] = set()
     for _, i, j, raw, off in batches(it, ["k2", "text"]):
         h, bounds = shingle_sets(raw, off)
         if len(seen) > 100_000:
             seen.clear()
-        new, cls = np.ones(j - i, bool), digests(h, bounds)
+        new, cls = np.ones(j - i, bool), _named(h, bounds, clashes, bits)
         for k, d in enumerate(cls.tolist()):
             new[k] = d not in seen
             seen.add(d)
@@ -91,7 +102,7 @@ def _prefixes(it, common: np.ndarray):
         take = (place < n[of] // 4 + 1) & new[of]
         h, late, of, place = h[order][take], late[order][take], of[take], place[take]
         head = place < n[of] - _needed(n[of], n[of]) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(late), pa.array(head), pa.array(signed(cls)[of]), pa.array(n[of].astype(np.int32))], ["token", "common", "head", "cls", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(late), pa.array(head), pa.array(cls[of]), pa.array(n[of].astype(np.int32))], ["token", "common", "head", "cls", "n"])
 
 
 def _groups(n: np.ndarray) -> np.ndarray:
@@ -105,29 +116,42 @@ def point(h: np.ndarray, groups: int) -> tuple[np.ndarray, int]:
     return held, int((counts - held).sum())
 
 
-def _sets(it):
-    """The sets of the wanted classes: TOKEN_BYTES of each hash, sorted, and their points."""
+def _sets(it, clashes: np.ndarray, bits: int):
+    """The sets of the wanted classes, sorted and packed, and their points."""
     seen: set[int] = set()
     for batch, i, j, raw, off in batches(it, ["wanted", "text"]):
         h, bounds = shingle_sets(raw, off)
-        cls, n = signed(digests(h, bounds)), np.diff(bounds)
+        cls, n = _named(h, bounds, clashes, bits), np.diff(bounds)
         wanted = batch.column(0).slice(i, j - i).to_numpy()
         held = [k for k in np.flatnonzero(cls == wanted) if not (cls[k] in seen or seen.add(cls[k]))]
         points = [point(h[bounds[k] : bounds[k + 1]], int(g)) for k, g in zip(held, _groups(n[held]), strict=True)]
-        cut = (h >> np.uint64(64 - 8 * TOKEN_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(cls[held]), pa.array(n[held].astype(np.int32)), pa.array([p.tobytes() for p, _ in points], pa.binary()), pa.array([e for _, e in points], pa.int64()),
-                pa.array([cut[bounds[k] : bounds[k + 1]].tobytes() for k in held], pa.binary()),
+                pa.array([packed(h[bounds[k] : bounds[k + 1]]) for k in held], pa.binary()),
             ],
             ["cls", "n", "point", "excess", "hashes"],
         )
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
-    out[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
-    return out.view("<u8").reshape(-1)
+def packed(h: np.ndarray) -> bytes:
+    """The leading bytes of sorted hashes, behind a byte that says how many of each."""
+    width = TOKEN_BYTES if len(h) <= SHORT else 8
+    return bytes([width]) + (h >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, int]:
+    width = raw[0]
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<u8").reshape(-1), width
+
+
+def overlap(x: np.ndarray, of_x: int, y: np.ndarray, of_y: int) -> int:
+    """How many hashes two unpacked sets share, by as many bytes as both have."""
+    width = min(of_x, of_y)
+    both = np.union1d(x >> np.uint64(8 * (of_x - width)), y >> np.uint64(8 * (of_y - width)))
+    return len(x) + len(y) - len(both)
 
 
 def _needed(na, nb):
@@ -142,10 +166,10 @@ def _verified(it):
         last, y = None, None
         for k, (sa, sb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             if sb != last:
-                last, y = sb, _unpack(sb)
-            x = _unpack(sa)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            ok[k] = 100 * both >= 75 * (len(x) + len(y) - both)
+                last, y = sb, unpacked(sb)
+            x = unpacked(sa)
+            both = overlap(*x, *y)
+            ok[k] = 100 * both >= 75 * (len(x[0]) + len(y[0]) - both)
         yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], ["a", "b"])
 
 
@@ -293,18 +317,22 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     arrow_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key()[1], F.coalesce("text", F.lit("")).alias("text"))
-    described = materialize(text.mapInArrow(_describe, "kind int, doc_id long, k2 long, cls long, check long, n long"))
+    bits = DIGEST_BITS
+    described = materialize(text.mapInArrow(lambda it: _describe(it, bits), "kind int, doc_id long, k2 long, cls long, check long, n long"))
     common = described.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(LISTED).collect()
     common = np.sort(np.array([r["cls"] for r in common], np.int64).view(np.uint64))
     rows = described.where("kind = 0").select("doc_id", "k2", "cls", "check", "n")
     first = F.min(F.struct(F.isnull("doc_id").alias("absent"), "doc_id", "k2")).alias("rep")
     classes = materialize(rows.where("n > 0").groupBy("cls").agg(first, (F.min("check") != F.max("check")).alias("clash")))
-    if not classes.where("clash").isEmpty():
-        raise ArithmeticError("two different shingle sets have one digest")
+    clashes = np.array([r["cls"] for r in classes.where("clash").select("cls").collect()], np.int64)  # a handful: see above
+    if len(clashes):
+        discard(classes)
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(clashes.tolist()), F.col("check")).otherwise(F.col("cls")))
+        classes = materialize(rows.where("n > 0").groupBy("cls").agg(first))
 
     # 1: tokens that two classes hold, in a head of one; a common token's rows are split by salts, and stay whatever their number
     held = spark.sparkContext.broadcast(common)  # at most LISTED values
-    prefixes = text.where(F.length("text") > 0).select("k2", "text").mapInArrow(lambda it: _prefixes(it, held.value), "token long, common boolean, head boolean, cls long, n int")
+    prefixes = text.where(F.length("text") > 0).select("k2", "text").mapInArrow(lambda it: _prefixes(it, held.value, clashes, bits), "token long, common boolean, head boolean, cls long, n int")
     salted = prefixes.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int") + 1).otherwise(0)).drop("common")
     group = Window.partitionBy("token", "salt")
     grouped = salted.withColumn("low", F.min("cls").over(group)).withColumn("high", F.max("cls").over(group)).withColumn("any", F.max("head").over(group))
@@ -315,7 +343,7 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # the members' sets, once
     wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep.k2").alias("k2"), F.col("cls").alias("wanted"))
-    sets = materialize(text.join(wanted, "k2").select("wanted", "text").mapInArrow(_sets, "cls long, n int, point binary, excess long, hashes binary"))
+    sets = materialize(text.join(wanted, "k2").select("wanted", "text").mapInArrow(lambda it: _sets(it, clashes, bits), "cls long, n int, point binary, excess long, hashes binary"))
 
     # 2: each member with its token's hub
     first = F.min(F.struct((-F.col("alike")).alias("rank"), F.col("cls").alias("b"), F.col("n").alias("nb"))).alias("first")

@@ -97,9 +97,11 @@ def jaccard_brute(rows):
     return sorted(repr((i, len(s), least.get(find(k)))) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block", [2000, 2])
-def test_jaccard(odd, odd_rows, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bits"), [(2000, 64), (2, 64), (2, 2)])
+def test_jaccard(odd, odd_rows, monkeypatch, block, bits):
+    """With two bits of a digest nearly all sets share theirs with others."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "DIGEST_BITS", bits)
     got = jaccard_join.jaccard_join(odd).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(repr(tuple(r)) for r in got) == jaccard_brute(odd_rows)
 
@@ -141,6 +143,16 @@ def test_sizes_of_points_meet():
         assert want and want <= got and len(got) < 4 * len(want)
 
 
+def test_long_sets_keep_whole_hashes(monkeypatch):
+    h = np.unique(np.random.default_rng(5).integers(0, 2**64, 900, dtype=np.uint64))
+    monkeypatch.setattr(jaccard_join, "SHORT", 700)
+    (short, a), (long, b) = (jaccard_join.unpacked(jaccard_join.packed(x)) for x in (h[:700], h))
+    assert (a, b) == (5, 8) and (long == h).all() and (short == h[:700] >> np.uint64(24)).all()
+    assert jaccard_join.overlap(short, a, long, b) == jaccard_join.overlap(long, b, short, a) == 700
+    assert jaccard_join.overlap(long, b, long ^ np.uint64(1), b) == len(np.intersect1d(h, h ^ np.uint64(1)))
+    assert jaccard_join.overlap(*jaccard_join.unpacked(jaccard_join.packed(h[:0])), long, b) == 0
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
