@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import IS_SPACE, LOWER, SPACES, column_bytes, steps, table, words
+from .shared import IS_SPACE, LOWER, SPACES, arrow_batches, column_bytes, steps, table, words
 
 SEQUENCE, END_ID = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -221,6 +221,7 @@ def _pack(it, path: str):
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """A row of SCHEMA for each piece, its ids among them. path: of the tokenizer file, the same on every executor."""
     path = path or tokenizer_path()
+    arrow_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lambda it: _pack(it, path), SCHEMA)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,15 @@ def materialize(df: DataFrame, *sort: str) -> DataFrame:
     return out
 
 
+def resumed(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, made and written first unless a whole one is there: a write ends with its _SUCCESS file, what was broken off is replaced."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+        release(spark)
+    return spark.read.parquet(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote. Only for those whose every reader has run."""
     for t in tables:
