@@ -206,6 +206,31 @@ def test_spans_and_extensions():
 
 
 # op 7
+def test_convolution_against_loops():
+    """Pooled responses are those of a plain loop over windows; a document without words has the one window of padding."""
+    rng = np.random.default_rng(11)
+    embed = np.zeros((toxicity.BUCKETS + 1, toxicity.DIM), np.float32)
+    embed[:-1] = rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM))
+    filters = {w: rng.normal(0, 1, (w * toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS}
+    size = toxicity.FILTERS * len(toxicity.WIDTHS)
+    m = toxicity.Model(embed, filters, rng.normal(0, 1, size).astype(np.float32), rng.normal(0, 1, size).astype(np.float32), 0.25)
+    texts = ["", "one", "two words", "a b c d e f g", "", "again again again", "Ünïcode wörds and 12 numbers", "..."]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    feats, off = toxicity.features(raw, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    pooled, z = m.pooled(feats, off)[0], m.logits(feats, off)
+    for d in range(len(texts)):
+        vec = [embed[f].sum(axis=0) for f in feats[off[d] : off[d + 1]]]
+        want = []
+        for w in toxicity.WIDTHS:
+            padded = np.array(vec + [np.zeros(toxicity.DIM)] * w)
+            want.append(max_of := np.full(toxicity.FILTERS, -np.inf))
+            for i in range(len(vec) + 1):
+                np.maximum(max_of, padded[i : i + w].reshape(-1) @ filters[w], out=max_of)
+        want = np.concatenate(want)
+        assert np.allclose(pooled[d], want, atol=1e-3)
+        assert abs(z[d] - (np.maximum(want + m.bias, 0) @ m.out + 0.25)) < 1e-2
+
+
 def test_toxicity(spark, empty):
     bad = ["awful", "vileness", "vilest", "rottenly", "rotten"]
     rows, labels = [], []
