@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, arrow_batches, column_bytes, discard, materialize, mix, prefix_hash, span_hash, steps, table
+from .shared import LOWER, arrow_batches, column_bytes, discard, materialize, mix, prefix_hash, row_key, span_hash, steps, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 5_000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 18, 8, 10, (1, 2, 3), (3, 4, 5, 6)
@@ -311,14 +311,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't toxic, with their columns as they came."""
+    """The documents that aren't toxic, with their columns as they came.
+
+    Each text is scored once, into a slim table; what stays in the scratch folder are the keys of the rows that go.
+    """
     model = train(docs, labels)
     if model is None:
         return docs
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    scored = materialize(score(docs.select(row, "text", "lang", "doc_id"), model).drop("text"))  # the text is in the row
+    k1, k2 = row_key()
+    lang = F.coalesce("lang", F.lit(""))  # rows alike in id and text may be of languages with different thresholds
+    scored = materialize(score(docs.select(k1, k2, "doc_id", lang.alias("lang"), "text"), model).drop("text"))
     calibrate(model, scored, labels)
-    return scored.where(F.col("score") < threshold_of(model, F.coalesce(F.col("lang"), F.lit("")))).select("row.*")
+    gone = materialize(scored.where(F.col("score") >= threshold_of(model, F.col("lang"))).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("lang").alias("__lang")))
+    discard(scored)
+    return docs.join(gone, (k1 == F.col("__k1")) & (k2 == F.col("__k2")) & (lang == F.col("__lang")), "left_anti")
 
 
 def fold(doc_id: Column) -> Column:

@@ -5,11 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import prose, thue_morse
 
-from loomgraph.llm import fingerprints, html_extract, license_scan, license_texts, nbest, packing, toxicity, url_filter
+from loomgraph.llm import fingerprints, html_extract, license_scan, license_texts, nbest, packing, shared, toxicity, url_filter
 from loomgraph.llm.html_pages import labelled_pages
 
 
@@ -252,6 +253,24 @@ def test_toxicity(spark, empty):
     assert toxicity.keep_clean(empty, known.limit(0)).columns == empty.columns
 
 
+def test_clean_rows_leave_no_texts_behind(spark, tmp_path, monkeypatch):
+    rows = [(k, prose(3000 + k, 20) + (" vilest rotten" if k % 4 == 0 else ""), "en" if k % 3 else None, k) for k in range(300)]
+    rows += [(7, "two languages", "en", 1), (7, "two languages", "de", 2), (None, "no id", None, 3), (None, None, "en", 4), (5, rows[5][1], "en", 5), (5, rows[5][1], "en", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
+    known = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300) if k % 5], "doc_id long, toxic int")
+    want = toxicity.toxicity(docs.withColumnRenamed("score", "own"), known).where("not toxic").select("doc_id", "text", "lang", "own").collect()
+    paths = (f"{tmp_path}/{k}" for k in range(99))
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: next(paths))
+    got = toxicity.keep_clean(docs, known)
+    assert got.columns == docs.columns and 0 < len(want) < len(rows)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want)))
+    left = [ds.dataset(p, format="parquet").schema.names for p in tmp_path.iterdir()]
+    assert left == [["__k1", "__k2", "__lang"]]
+    # rows alike in id and text go by their own language's threshold
+    monkeypatch.setattr(toxicity, "threshold_of", lambda model, lang: F.when(lang == "de", F.lit(2.0)).otherwise(F.lit(0.0)))
+    assert [tuple(r) for r in toxicity.keep_clean(docs, known).collect()] == [(7, "two languages", "de", 2)]
+
+
 def test_thresholds_come_from_all_labels(spark, monkeypatch):
     held = {}
     real = toxicity.threshold_of
