@@ -46,6 +46,8 @@ HOT, BLOCKS = 1000, (64, 16, 4, 1)
 NEAREST = 4
 #: Bytes of contexts that share a suffix array (a shard's are never parted).
 CHUNK = 300_000
+#: Bytes of blocks' stretches in an Arrow batch; blocks of one place repeat each of a context's bytes SPAN times.
+BLOCK_BYTES = 1_000_000
 RUN = "anchor long, ctx long, k1 long, k2 long, start long, windows int, lead int, again boolean"
 
 
@@ -220,8 +222,13 @@ def _blocks(it, size: int):
     key: of the anchor, the block and the bytes common to all its windows; same: of the stretch's bytes.
     """
     names = [c.split()[0] for c in PART.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int32()] * 3 + [pa.binary()]
+    out, held = [], 0
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     for batch in it:
-        out = []
         for anchor, ctx, n, again, first, place, windows, body in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
             raw = np.frombuffer(body, np.uint8)
             prefix = prefix_hash(raw)
@@ -239,9 +246,13 @@ def _blocks(it, size: int):
             same = signed(mix(span_hash(prefix, a, b + SPAN - 1) + (b - a).astype(np.uint64)))
             for k in range(len(a)):
                 out.append((key[k], same[k], n, anchor, ctx, False, first + a[k], spots[a[k]], b[k] - a[k], body[a[k] : b[k] + SPAN - 1]))
-        cols = list(zip(*out, strict=True)) or [[]] * len(names)
-        kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int32()] * 3 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                held += len(out[-1][-1])
+                if held > BLOCK_BYTES:
+                    yield made(out)
+                    out, held = [], 0
+    if out:
+        yield made(out)
+    pa.default_memory_pool().release_unused()
 
 
 def _split(bodies: DataFrame) -> list[DataFrame]:

@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import edited, prose, thue_morse
 
@@ -258,6 +259,25 @@ def test_squeezed_texts_keep_their_windows():
     assert cut > 20
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_blocks_come_in_small_batches(again):
+    if again:  # one long context, its anchor's gram in each window
+        core = prose(5, 20).encode()[: substring_dedup.GRAM]
+        bodies = [b"".join(core + prose(k, 20).encode()[:100] for k in range(200))]
+        anchor = int(substring_dedup.grams(np.frombuffer(core, np.uint8), substring_dedup.GRAM).view(np.int64)[0])
+    else:
+        bodies, anchor = [prose(k, 150).encode()[:352] for k in range(100)], 5
+    windows = [len(b) - substring_dedup.SPAN + 1 for b in bodies]
+    n = len(bodies)
+    columns = {"anchor": [anchor] * n, "ctx": range(n), "n": [1] * n, "again": [again] * n, "first": [0] * n, "place": [-20] * n, "windows": windows, "body": bodies}
+    batch = pa.RecordBatch.from_pydict({k: list(v) for k, v in columns.items()})
+    made = list(substring_dedup._blocks(iter([batch]), 1))
+    assert max(b.nbytes for b in made) < 1.5 * substring_dedup.BLOCK_BYTES
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["ctx"], r["first"], r["windows"], r["body"]) for r in rows] == [(c, k, 1, b[k : k + substring_dedup.SPAN]) for c, b in enumerate(bodies) for k in range(windows[c])]
+    assert not list(substring_dedup._blocks(iter([batch.slice(0, 0)]), 1))
+
+
 def test_long_texts_of_one_letter(spark):
     docs = spark.createDataFrame([(1, "a" * 5_000_000), (2, "b" + "a" * 4_999_999 + "c"), (3, prose(5, 50))], "doc_id long, text string")
     start = time.monotonic()
